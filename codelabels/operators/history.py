@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import has_type, relevant_path
 from ..schemas import ACTIVE_DAYS, FILE_TYPE, HISTORY_PAGE
-from ..session import enable_checkpoints
+from ..session import settle
 from .ranking import first_within
 
 COMMIT = ["repo_name", "sha"]
@@ -73,19 +73,17 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     number of joins. Other parents of commits found so start the next round, and
     there are as many rounds as merges nest.
     """
-    spark = log.sparkSession
-    enable_checkpoints(spark)
     edges = log.select("repo_name", "sha", F.posexplode("parent_shas").alias("rank", "parent"))
+    edges = settle(edges.where(F.col("repo_name").isNotNull()), "edges")
     first = edges.where("rank = 0").select(*COMMIT, "parent")
     others = edges.where("rank > 0").select(*COMMIT, "parent")
-    longest = log.groupBy("repo_name").count().agg(F.max("count")).first()[0] or 0
 
-    jumps = [first.checkpoint()]
-    while (1 << len(jumps)) < longest:
+    jumps = [first]
+    while True:
         step = jumps[-1]
         onward = step.select("repo_name", F.col("sha").alias("parent"), F.col("parent").alias("_next"))
         longer = step.join(onward, ["repo_name", "parent"]).select(*COMMIT, F.col("_next").alias("parent"))
-        longer = longer.checkpoint()
+        longer = settle(longer, "steps")
         if longer.isEmpty():
             break
         jumps.append(longer)
@@ -93,18 +91,23 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     def follow(found: DataFrame, edge: DataFrame) -> DataFrame:
         return found.join(edge, COMMIT).select("repo_name", F.col("parent").alias("sha"))
 
-    frontier = follow(cursors.select(*COMMIT), first).distinct()
-    seen = None
+    rounds: list[DataFrame] = []
+
+    def unseen(found: DataFrame) -> DataFrame:
+        for earlier in rounds:
+            found = found.join(earlier, COMMIT, "left_anti")
+        return found
+
+    frontier = follow(cursors.select(*COMMIT), first)
     while True:
         for table in jumps:
             frontier = frontier.union(follow(frontier, table)).distinct()
-        if seen is not None:
-            frontier = frontier.join(seen, COMMIT, "left_anti")
-        frontier = frontier.checkpoint()
+        frontier = settle(unseen(frontier), "reached")
         if frontier.isEmpty():
             break
-        seen = frontier if seen is None else seen.union(frontier).checkpoint()
-        frontier = follow(frontier, others).distinct().join(seen, COMMIT, "left_anti")
-    if seen is None:
-        seen = frontier
-    return log.join(seen, COMMIT, "left_semi")
+        rounds.append(frontier)
+        frontier = unseen(follow(frontier, others).distinct())
+    reached = frontier
+    for found in rounds:
+        reached = reached.union(found)
+    return log.join(reached, COMMIT, "left_semi")

@@ -33,9 +33,15 @@ def pending_files(
 
 
 def with_text(pending: DataFrame, contributions: DataFrame) -> DataFrame:
-    """Fetch each pending file's text: its one shuffle, keyed by a unique number."""
+    """Fetch each pending file's text and spread it by its unique number.
+
+    If few files are pending Spark may broadcast them, and only their texts are
+    shuffled; otherwise the join shuffles by the same key and Spark drops the
+    repartitioning as redundant. Either way a text moves once, a hot repository
+    is spread, and folding the file's windows needs no further exchange.
+    """
     texts = contributions.select("seq", "author", "timestamp", "sha", "file_content")
-    return texts.join(pending, "seq")
+    return texts.join(pending, "seq").repartition("seq")
 
 
 def before_failure(scored: DataFrame) -> DataFrame:

@@ -29,6 +29,19 @@ MIN_HITS = 8
 INITIALS = [chr(ord("a") + i) for i in range(26)] + ["$_0123456789"]
 
 
+def token_initials(code: Column) -> Column:
+    """The first character of every token, in lower case, as one text."""
+    return F.lower(F.regexp_replace(code, r"([A-Za-z0-9_$])[A-Za-z0-9_$]*|[^A-Za-z0-9_$]+", "$1"))
+
+
+def hits(initials: Column, chars: str) -> Column:
+    """How many tokens start with one of ``chars``: what their removal shortens."""
+    left = initials
+    for ch in chars:
+        left = F.replace(left, F.lit(ch), F.lit(""))
+    return F.length(initials) - F.length(left)
+
+
 @dataclass
 class RuleScorer:
     """Counts tokens by first character; enough of one kind shows its label.
@@ -42,21 +55,12 @@ class RuleScorer:
     initials: Sequence[str] = field(default_factory=lambda: list(INITIALS))
     min_hits: int = MIN_HITS
 
-    def hits(self, heads: Column, chars: str) -> Column:
-        left = heads
-        for ch in chars:
-            left = F.replace(left, F.lit(ch), F.lit(""))
-        return F.length(heads) - F.length(left)
-
-    def logits(self, heads: Column) -> Column:
-        bar = self.min_hits - 0.5
-        return F.array(*[self.hits(heads, chars) - F.lit(bar) for chars in self.initials])
-
     def __call__(self, windows: DataFrame) -> DataFrame:
-        heads = F.lower(F.regexp_replace("code", r"([A-Za-z0-9_$])[A-Za-z0-9_$]*|[^A-Za-z0-9_$]+", "$1"))
-        named = windows.withColumn("_heads", heads)
+        bar = self.min_hits - 0.5
         rest = [c for c in windows.columns if c != "code"]
-        return named.select(*rest, decide(self.logits(F.col("_heads"))).alias("prediction"))
+        named = windows.select(*rest, token_initials(F.col("code")).alias("_heads"))
+        logits = F.array(*[hits(F.col("_heads"), chars) - F.lit(bar) for chars in self.initials])
+        return named.select(*rest, decide(logits).alias("prediction"))
 
 
 @dataclass
@@ -167,24 +171,30 @@ def onnx_model(model_path: str, tokenizer_path: str, max_length: int = 512) -> C
 # --- one binary classifier per label ---------------------------------------
 
 
-def fan_out(windows: DataFrame, models: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def fan_out(
+    windows: DataFrame,
+    models: dict[str, Callable[[Column], Column]],
+    prepare: Callable[[Column], Column] = lambda code: code,
+) -> DataFrame:
     """Every expression model scores every window: one row per (model, window).
 
     The models are a literal list inside each row, so nothing is joined and the
-    text is dropped as soon as it is scored.
+    text is dropped as soon as it is scored. ``prepare`` is the part they share.
     """
     rest = [c for c in windows.columns if c != "code"]
-    verdicts = [F.struct(F.lit(n).alias("model"), m(F.col("code")).cast("int").alias("prediction")) for n, m in models.items()]
-    return windows.select(*rest, F.inline(F.array(*verdicts)))
+    ready = windows.select(*rest, prepare(F.col("code")).alias("_input"))
+    verdicts = [F.struct(F.lit(n).alias("model"), m(F.col("_input")).cast("int").alias("prediction")) for n, m in models.items()]
+    return ready.select(*rest, F.inline(F.array(*verdicts)))
 
 
 def initial_models(names: Sequence[str], min_hits: int = MIN_HITS) -> dict[str, Callable[[Column], Column]]:
-    """The rule of :class:`RuleScorer` as one expression model per name ``Kn``."""
+    """The rule of :class:`RuleScorer` as one expression model per name ``Kn``.
+
+    The models read :func:`token_initials` of a window.
+    """
 
     def model(chars: str) -> Callable[[Column], Column]:
-        choices = "".join(f"\\{c}" if c == "$" else c for c in chars)
-        pattern = rf"(?i)(?<![A-Za-z0-9_$])[{choices}]"
-        return lambda code: (F.regexp_count(code, F.lit(pattern)) >= min_hits).cast("int")
+        return lambda initials: hits(initials, chars) >= min_hits
 
     return {n: model(INITIALS[(int(n[1:]) - 1) % len(INITIALS)]) for n in names}
 

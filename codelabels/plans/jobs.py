@@ -14,7 +14,6 @@ from ..operators import history, patches, results, runs
 from ..operators.scoring import RuleScorer, classify, fan_out
 from ..operators.windows import file_lines, line_windows
 from ..schemas import FILE_TYPE, HISTORY_PAGE, PATH_LIMIT, WINDOW_GROW, WINDOW_MAX, WINDOW_MIN, WINDOW_MOVE
-from ..session import enable_checkpoints
 
 Windows = tuple[int, int, int, int]
 WINDOWS: Windows = (WINDOW_MIN, WINDOW_MAX, WINDOW_GROW, WINDOW_MOVE)
@@ -63,10 +62,11 @@ def analyze(
     """One analysis run per repository in ``contributions``.
 
     Gives a row per file in run order with ``detected``, ``done``, ``total``,
-    ``elapsed_time`` and ``error`` (null unless its scoring failed). Run places
-    are found on narrow rows; the text is fetched once by unique number, which
-    also spreads any hot repository, and the windows of a file are folded
-    without another shuffle.
+    ``elapsed_time`` and ``error`` (null unless its scoring failed). Callers who
+    use the rows more than once should settle them first, so that all uses see
+    one scoring. Run places are found on narrow rows; the text is fetched once
+    by unique number, which also spreads any hot repository, and the windows of
+    a file are folded without another shuffle.
     """
     scorer = scorer or RuleScorer()
     pending = runs.pending_files(contributions, stored_results, by, content_complete)
@@ -78,13 +78,6 @@ def analyze(
     return scored.withColumn("detected", detected).drop("verdict")
 
 
-def settle(scored: DataFrame) -> DataFrame:
-    """Write the scored rows to the checkpoint folder, so that failure cut-off,
-    saving and events read one and the same scoring."""
-    enable_checkpoints(scored.sparkSession)
-    return scored.checkpoint()
-
-
 def saved_results(scored: DataFrame) -> DataFrame:
     """Rows a run stores: those before its first failure, with progress."""
     return runs.with_progress(runs.before_failure(scored))
@@ -112,14 +105,16 @@ def score_per_label(
     models: dict[str, PipelineModel] | dict[str, Callable[[Column], Column]],
     keys: Sequence[str] = ("filename",),
     windows: Windows = WINDOWS,
+    prepare: Callable[[Column], Column] = lambda code: code,
 ) -> DataFrame:
     """Per-label classifiers over files: (model, file, detected).
 
-    ``models`` are trained pipelines or Column expressions over the window.
+    ``models`` are trained pipelines, or Column expressions over the prepared
+    window.
     """
     cut = line_windows(file_lines(files.select(*keys, "file_content")), *windows).select(*keys, "code")
     trained = any(isinstance(m, PipelineModel) for m in models.values())
-    scored = classify(cut, models) if trained else fan_out(cut, models)
+    scored = classify(cut, models) if trained else fan_out(cut, models, prepare)
     return results.any_window_per_model(scored, list(keys))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text, values
 from ..operators import catalog, history, patches, ranking, results, runs, scoring, windows
 from ..schemas import LABELS, create_tables
-from ..session import fresh_path
+from ..session import fresh_path, settle
 from ..sources import files, tables
 from ..sources.derived import derive
 from ..streaming import jobs as streams
@@ -319,7 +319,7 @@ def _window_queries(grid: str, low: int, high: int, grow: int, move: int) -> Non
     )
     def a2(spark: SparkSession, folder: str) -> DataFrame:
         wins = windows.line_windows(_lines(spark, folder), low, high, grow, move).select("seq", "code")
-        fanned = scoring.fan_out(wins, scoring.initial_models(LABELS))
+        fanned = scoring.fan_out(wins, scoring.initial_models(LABELS), scoring.token_initials)
         return results.any_window_per_model(fanned, ["seq"]).select("seq", "model", "detected")
 
 
@@ -362,7 +362,7 @@ def a3(spark: SparkSession, folder: str) -> DataFrame:
 )
 def j6(spark: SparkSession, folder: str) -> DataFrame:
     wins = windows.line_windows(_lines(spark, folder), *GRIDS["6_3"]).select("seq", F.col("start").cast("bigint"), "code")
-    return scoring.fan_out(wins, scoring.initial_models(LABELS))
+    return scoring.fan_out(wins, scoring.initial_models(LABELS), scoring.token_initials)
 
 
 @query(
@@ -372,7 +372,7 @@ def j6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def f11(spark: SparkSession, folder: str) -> DataFrame:
     wins = windows.line_windows(_lines(spark, folder), *GRIDS["6_3"]).select("seq", "code")
-    fanned = scoring.fan_out(wins, scoring.initial_models(LABELS)).withColumnRenamed("model", "name")
+    fanned = scoring.fan_out(wins, scoring.initial_models(LABELS), scoring.token_initials).withColumnRenamed("model", "name")
     chosen = scoring.allowed(fanned, ["K2", "K3", "K27"]).withColumnRenamed("name", "model")
     return results.any_window_per_model(chosen, ["seq"]).select("seq", "model", "detected")
 
@@ -406,7 +406,7 @@ def _trained(spark: SparkSession, folder: str) -> dict:
     texts = derive(spark, folder, "contributions").select(F.col("seq").alias("doc_id"), "file_content")
     labelled = texts.join(read(spark, folder, "labels"), "doc_id")
     prepared = labelled.select(text.token_text(text.clean(F.col("file_content"))).alias("tokens"), "quality", "toxic")
-    prepared = prepared.where("tokens <> ''")
+    prepared = settle(prepared.where("tokens <> ''"), "training")
     return {
         name: scoring.classifier(name).fit(prepared.withColumn("label", F.col(target).cast("double")))
         for name, target in (("K1", "quality"), ("K2", "toxic"))
@@ -582,10 +582,13 @@ def p4_stream(spark: SparkSession, folder: str) -> DataFrame:
     log = _commits(spark, folder)
     log.repartition(3, "repo_name").write.parquet(log_place)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(log_place)
-    streams.stream_contributions(
-        stream, derive(spark, folder, "commit_files"), derive(spark, folder, "commit_patches"), place,
-        fresh_path(spark, "stream-state"),
-    )
+    lasting = []
+    for name in ("commit_files", "commit_patches"):
+        # Partitioned by repository, so that a batch reads its repositories only.
+        kept = fresh_path(spark, name)
+        tables.save_table(derive(spark, folder, name), kept, partition="repo_name")
+        lasting.append(tables.load_table(spark, kept))
+    streams.stream_contributions(stream, *lasting, place, fresh_path(spark, "stream-state"))
     stored = tables.load_table(spark, place)
     return stored.select(
         "repo_name", "sha", "author", "timestamp", "temp_filepath", "file_content",
@@ -741,11 +744,11 @@ query("s3_results_of_repository", RESULTS_OF_SQL)(_results_of)
 query("q10_results", RESULTS_OF_SQL)(_results_of)
 
 
-@query("s4_results_of_sha", f"{_RESULTS} select {_RESULT_ROW} from analysis_results_t where sha = md5('{REPO}/3')")
+@query("s4_results_of_sha", f"{_RESULTS} select {_RESULT_ROW} from analysis_results_t where sha = md5('{REPO}/8')")
 def s4(spark: SparkSession, folder: str) -> DataFrame:
     from hashlib import md5
 
-    sha = md5(f"{REPO}/3".encode()).hexdigest()
+    sha = md5(f"{REPO}/8".encode()).hexdigest()
     return _encoded(results.results_of_sha(derive(spark, folder, "analysis_results"), sha))
 
 
@@ -782,7 +785,8 @@ def s9(spark: SparkSession, folder: str) -> DataFrame:
     stored = derive(spark, folder, "analysis_results")
     files.export_csv(stored, place, LABELS)
     schema = results.wide_labels(stored, LABELS).schema
-    return spark.read.schema(schema).option("header", True).csv(place)
+    times = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    return spark.read.schema(schema).option("header", True).option("timestampNTZFormat", times).csv(place)
 
 
 ALL_SQL = (
@@ -992,7 +996,7 @@ def _document_folder(spark: SparkSession, folder: str) -> str:
     """Each document as a text file of its own, written by Spark."""
     place = fresh_path(spark, "sources")
     documents = derive(spark, folder, "contributions").select("file_content")
-    documents.write.option("maxRecordsPerFile", 1).text(place)
+    documents.repartition("file_content").write.option("maxRecordsPerFile", 1).text(place)
     return place
 
 
@@ -1017,5 +1021,5 @@ from lined l left join fired d on d.seq = l.seq group by l.seq"""
 def q12(spark: SparkSession, folder: str) -> DataFrame:
     found = files.read_directory(spark, _document_folder(spark, folder), "txt")
     labels = ["K2", "K3", "K4", "K20", "K27"]
-    per_model = jobs.score_per_label(found, scoring.initial_models(labels))
+    per_model = jobs.score_per_label(found, scoring.initial_models(labels), prepare=scoring.token_initials)
     return results.wide_labels(jobs.label_table(per_model, found, labels), labels).select(*labels)

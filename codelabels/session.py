@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits skewed join partitions and merges small ones at run time; NTZ keeps
 # stored times free of the session's zone.
@@ -47,6 +47,13 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared folder once and go on from the written table.
+
+    Cuts the lineage, survives lost executors, and gives the optimizer the
+    table's true size.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
