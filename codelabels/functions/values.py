@@ -43,13 +43,13 @@ def decode_map(text: Column) -> Column:
     return F.from_json(text, "map<string,int>")
 
 
-def probabilities(logits: Column) -> Column:
-    return F.transform(logits, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+def probability(logit: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
 def decide(logits: Column, threshold: float = THRESHOLD) -> Column:
     """0/1 per label; exactly the threshold does not count."""
-    return F.transform(probabilities(logits), lambda p: (p > threshold).cast("int"))
+    return F.transform(logits, lambda x: (probability(x) > threshold).cast("int"))
 
 
 def progress(done: Column, total: Column) -> Column:

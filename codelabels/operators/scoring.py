@@ -56,11 +56,11 @@ class RuleScorer:
     min_hits: int = MIN_HITS
 
     def __call__(self, windows: DataFrame) -> DataFrame:
-        bar = self.min_hits - 0.5
         rest = [c for c in windows.columns if c != "code"]
         named = windows.select(*rest, token_initials(F.col("code")).alias("_heads"))
-        logits = F.array(*[hits(F.col("_heads"), chars) - F.lit(bar) for chars in self.initials])
-        return named.select(*rest, decide(logits).alias("prediction"))
+        # A null window keeps null predictions: nothing was seen.
+        shown = [(hits(F.col("_heads"), chars) >= self.min_hits).cast("int") for chars in self.initials]
+        return named.select(*rest, F.array(*shown).alias("prediction"))
 
 
 @dataclass
