@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from codelabels.operators import catalog
+from codelabels.schemas import REPOSITORIES, STATUS_LOG
+
+OLD, NEW = datetime(2023, 1, 1), datetime(2024, 5, 5, 1, 2, 3)
+HOME = "https://github.com/apache/"
+
+
+def repositories(spark):
+    rows = [
+        ("a", HOME + "a", "d", "c", OLD, OLD, "in-progress", OLD, None, 40, None),
+        ("b", "https://github.com/other/b", None, None, OLD, OLD, None, None, None, None, None),
+        ("n", None, None, None, None, None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, REPOSITORIES)
+
+
+def by_name(df):
+    return {r["name"]: r for r in df.collect()}
+
+
+def test_upsert(spark):
+    updates = spark.createDataFrame(
+        [(1, "a", "first", "x", "y"), (2, "a", "u", None, "z"), (3, "new", None, "d", None)],
+        "seq long, name string, url string, description string, comments string",
+    )
+    out = by_name(catalog.upsert_repositories(repositories(spark), updates, F.lit(NEW).cast("timestamp_ntz")))
+    assert set(out) == {"a", "b", "n", "new"}
+    a = out["a"]
+    assert (a["url"], a["description"], a["comments"]) == ("u", "", "z")
+    assert (a["created_at"], a["updated_at"], a["analysis_progress"]) == (OLD, NEW, 40)
+    assert out["b"]["updated_at"] == OLD and out["b"]["description"] is None
+    assert out["n"]["created_at"] is None
+    new = out["new"]
+    assert (new["url"], new["created_at"], new["updated_at"], new["analysis_status"]) == ("", NEW, NEW, None)
+
+
+def test_delete(spark):
+    per_repo = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "repo_name string, x int")
+    names = spark.createDataFrame([("a",), ("a",), ("unknown",)], "name string")
+    repos, contributions, results = catalog.delete_repositories(names, repositories(spark), per_repo, per_repo)
+    assert set(by_name(repos)) == {"b", "n"}
+    assert {r["x"] for r in contributions.collect()} == {r["x"] for r in results.collect()} == {3, 4}
+
+
+def test_status(spark):
+    log = spark.createDataFrame(
+        [
+            (1, "a", "completed", OLD, NEW, 100, None),
+            (2, "a", "error", NEW, NEW, None, "boom"),
+            (3, "ghost", "completed", OLD, NEW, 100, None),
+        ],
+        STATUS_LOG,
+    )
+    out = catalog.apply_status(repositories(spark), log)
+    a = by_name(out)["a"]
+    assert (a["analysis_status"], a["analysis_progress"], a["analysis_error_message"]) == ("error", None, "boom")
+    assert set(by_name(out)) == {"a", "b", "n"}
+    shown = catalog.analysis_status(out, "a").collect()
+    assert shown[0].asDict() == {
+        "name": "a", "status": "error", "start_time": "2024-05-05T01:02:03", "end_time": "2024-05-05T01:02:03",
+        "progress": None, "error_message": "boom",
+    }
+    assert catalog.analysis_status(out, "ghost").collect() == []
+
+
+def test_list(spark):
+    assert [r["name"] for r in catalog.list_repositories(repositories(spark)).collect()] == ["a"]
+    assert catalog.list_repositories(repositories(spark), None).count() == 3
+    assert catalog.list_repositories(repositories(spark)).first()["created_at"] == "2023-01-01T00:00:00"

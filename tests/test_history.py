@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from codelabels.operators import history, ranking
+from codelabels.schemas import COMMIT_PATCHES, COMMITS_LOG
+
+START = datetime(2024, 1, 1)
+
+
+def make_log(spark, rows):
+    return spark.createDataFrame(rows, COMMITS_LOG)
+
+
+def skewed_rows():
+    """One repository holds most commits; ordinals start anywhere and have gaps."""
+    rng = random.Random(1)
+    rows = []
+    for repo, n in (("hot", 700), ("a", 5), ("b", 1)):
+        for place, ordinal in enumerate(sorted(rng.sample(range(10 * n + 10), n))):
+            rows.append((repo, f"{repo}{place}", "x", START, [], ordinal))
+    return rows
+
+
+@pytest.mark.parametrize("span", [1, 7, 64, 1 << 16])
+def test_number_within_skewed_groups(spark, span):
+    out = ranking.number_within(make_log(spark, skewed_rows()), "repo_name", "ordinal", total="all", span=span)
+    for row in out.select("repo_name", "sha", "position", "all").collect():
+        assert row["sha"] == f"{row['repo_name']}{row['position'] - 1}"
+        assert row["all"] == {"hot": 700, "a": 5, "b": 1}[row["repo_name"]]
+
+
+@pytest.mark.parametrize("limit,skip", [(None, 0), (None, 3), (0, 0), (3, 0), (2, 4), (2000, 0), (2000, 1)])
+def test_newest_commits(spark, limit, skip):
+    out = history.newest_commits(make_log(spark, skewed_rows()), limit, skip)
+    assert out.columns == COMMITS_LOG.fieldNames()
+    wanted = set()
+    for repo, n in (("hot", 700), ("a", 5), ("b", 1)):
+        wanted |= {f"{repo}{i}" for i in list(range(n))[skip : None if limit is None else skip + limit]}
+    assert {r["sha"] for r in out.collect()} == wanted
+
+
+def test_limits_are_cut_before_the_shuffle(spark, tmp_path):
+    make_log(spark, skewed_rows()).write.parquet(str(tmp_path / "log"))
+    plan = history.newest_commits(spark.read.parquet(str(tmp_path / "log")), 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_touching_and_merges(spark):
+    log = make_log(
+        spark, [("r", "m", "x", START, ["a", "b"], 1), ("r", "a", "x", START, ["b"], 2), ("r", "b", "x", START, None, 3)]
+    )
+    patches = spark.createDataFrame(
+        [("r", "m", "x.java", "x.java", ""), ("r", "m", "y.java", "y.java", ""), ("r", "a", "x.java", "x.py", ""),
+         ("r", "b", "x.java", "", ""), ("other", "a", "x.java", "x.java", "")],
+        COMMIT_PATCHES,
+    )
+    assert {r["sha"] for r in history.touching(log, patches).collect()} == {"m", "b"}
+    assert {(r["sha"], r["is_root"]) for r in history.without_merges(log).collect()} == {("a", False), ("b", True)}
+    assert {r["sha"] for r in history.recent_history(log, patches, 1).collect()} == {"m"}
+
+
+def test_older_than(spark):
+    log = make_log(spark, skewed_rows())
+    cursors = spark.createDataFrame([("hot", "hot690"), ("a", "a4"), ("b", "none")], "repo_name string, sha string")
+    assert {r["sha"] for r in history.older_than(log, cursors).collect()} == {f"hot{i}" for i in range(691, 700)}
+
+
+def test_first_active_days(spark):
+    rows = [("r", f"c{i}", "x", START + timedelta(days=2 * (i // 2), hours=i % 2), [], i) for i in range(60)]
+    out = {r["sha"] for r in history.first_active_days(make_log(spark, rows)).collect()}
+    wanted = set()
+    for month in (1, 2):
+        days = sorted({r[3].date() for r in rows if r[3].month == month})[:7]
+        wanted |= {r[1] for r in rows if r[3].date() in days}
+    assert out == wanted
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ancestors_of_random_branching_history(spark, seed):
+    rng = random.Random(seed)
+    parents = {}
+    for i in range(60):
+        older = list(range(i + 1, min(i + 9, 60)))
+        parents[i] = rng.sample(older, min(len(older), rng.choice([0, 1, 1, 1, 2, 3] if i > 3 else [1, 2])))
+    log = make_log(spark, [("r", f"c{i}", "x", START, [f"c{p}" for p in parents[i]], i) for i in parents])
+    cursors = spark.createDataFrame([("r", "c2")], "repo_name string, sha string")
+    todo, wanted = parents[2][:1], set()
+    while todo:
+        at = todo.pop()
+        if at not in wanted:
+            wanted.add(at)
+            todo += parents[at]
+    assert {r["sha"] for r in history.ancestors(log, cursors).collect()} == {f"c{i}" for i in wanted}
+
+
+def test_ancestors_of_a_root_are_none(spark):
+    log = make_log(spark, [("r", "a", "x", START, ["b"], 1), ("r", "b", "x", START, [], 2)])
+    cursors = spark.createDataFrame([("r", "b")], "repo_name string, sha string")
+    assert history.ancestors(log, cursors).collect() == []

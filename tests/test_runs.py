@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codelabels.operators import results, runs
+from codelabels.operators.scoring import ArrowScorer, RuleScorer, rule_model
+from codelabels.plans import jobs
+from codelabels.schemas import ANALYSIS_RESULTS, CONTRIBUTIONS, LABELS, REPOSITORIES
+from codelabels.session import settle
+
+WHEN = datetime(2024, 1, 2, 3, 4, 5)
+WORDS = "apple avocado ant arm axe air ale ash;"
+
+
+def contribution(seq, path, sha, content=WORDS, repo="r"):
+    return (seq, f"dev{seq}", content, [1], path, WHEN, sha, repo)
+
+
+def contributions(spark, rows):
+    return spark.createDataFrame(rows, CONTRIBUTIONS)
+
+
+def no_results(spark, rows=()):
+    return spark.createDataFrame(list(rows), ANALYSIS_RESULTS)
+
+
+def result(seq, sha, filename="f", timestamp=WHEN, repo="r", detected=None):
+    return (seq, filename, "dev", timestamp, sha, detected or {"K1": 1}, 0.5, repo)
+
+
+def test_pending_keeps_the_last_text_at_the_first_place(spark):
+    rows = [
+        contribution(1, "/t/x.java", "s1", "old"),
+        contribution(2, "/t/y.java", "s1"),
+        contribution(3, "/u/x.v2.java", "s2", "new"),
+        contribution(4, "/t/y.java", "s2", None),
+        contribution(5, None, "s2"),
+        contribution(6, "/t/z.java", "done"),
+        contribution(7, "/t/n.java", None),
+        contribution(8, "/t/x.java", "s1", repo="q"),
+    ]
+    pending = runs.pending_files(contributions(spark, rows), no_results(spark, [result(1, "done", repo="other")]))
+    found = {(r["repo_name"], r["filename"]): (r["seq"], r["done"], r["total"]) for r in pending.collect()}
+    assert found == {("r", "x"): (3, 1, 3), ("r", "y"): (2, 2, 3), ("r", "n"): (7, 3, 3), ("q", "x"): (8, 1, 1)}
+    texts = runs.with_text(pending, contributions(spark, rows)).where("filename = 'x' and repo_name = 'r'").collect()
+    assert [r["file_content"] for r in texts] == ["new"]
+
+
+def test_half_done_commits_can_be_completed(spark):
+    rows = contributions(spark, [contribution(1, "/t/x.java", "s"), contribution(2, "/t/y.java", "s")])
+    stored = no_results(spark, [result(1, "s", "x")])
+    assert runs.pending_files(rows, stored).count() == 0
+    assert [r["filename"] for r in runs.pending_files(rows, stored, by="sha_file").collect()] == ["y"]
+
+
+def test_analyze_gives_every_file_a_verdict(spark):
+    rows = [
+        contribution(1, "/t/a.java", "s", WORDS),
+        contribution(2, "/t/none.java", "s", "// only a comment"),
+        contribution(3, "/t/empty.java", "s", ""),
+    ]
+    scored = {r["filename"]: r for r in jobs.analyze(contributions(spark, rows), no_results(spark)).collect()}
+    assert scored["a"]["detected"] == {k: int(k == "K1") for k in LABELS}
+    assert set(scored["none"]["detected"].values()) == set(scored["empty"]["detected"].values()) == {0}
+    assert jobs.analyze(contributions(spark, rows), no_results(spark), windows=(5, 3, 1, 1)).count() == 3
+
+
+def test_progress_of_a_hundred_files(spark):
+    rows = [contribution(i, f"/t/f{i:03d}.java", "s", "x") for i in range(1, 101)]
+    saved = jobs.saved_results(jobs.analyze(contributions(spark, rows), no_results(spark))).orderBy("seq")
+    found = [r["progress"] for r in saved.collect()]
+    assert found == [int(k / 100 * 100) for k in range(1, 101)] and found[-1] == 100
+
+
+def test_first_error_ends_the_run(spark):
+    def load():
+        score = rule_model()()
+
+        def predict(texts):
+            if any("BAD" in t for t in texts):
+                raise ValueError("cannot score")
+            return score(texts)
+
+        return predict
+
+    rows = [contribution(i, f"/t/f{i}.java", "s", "BAD;" if i == 3 else WORDS) for i in range(1, 6)]
+    rows += [contribution(9, "/t/fine.java", "t", repo="q")]
+    scored = settle(jobs.analyze(contributions(spark, rows), no_results(spark), ArrowScorer(load)), "test")
+    saved = {(r["repo_name"], r["filename"]) for r in jobs.saved_results(scored).collect()}
+    assert saved == {("r", "f1"), ("r", "f2"), ("q", "fine")}
+    url = F.concat(F.lit("https://h/"), F.col("repo_name"))
+    events = jobs.run_events(scored, url).orderBy("repo_name", "event_order").collect()
+    bodies = {repo: [json.loads(e["event"]) for e in events if e["repo_name"] == repo] for repo in "qr"}
+    assert bodies["q"][-1] == {"progress": 100, "message": "Analysis completed", "repoUrl": "https://h/q"}
+    assert [b.get("progress") for b in bodies["r"]] == [20, 40, None]
+    assert bodies["r"][-1] == {"error": "cannot score", "repoUrl": "https://h/r"}
+    data = bodies["q"][0]["file_data"]
+    assert list(data) == ["filename", "author", "timestamp", "sha", "detected_kus", "elapsed_time", "repoUrl"]
+    assert data["timestamp"] == "2024-01-02T03:04:05" and data["elapsed_time"] > 0
+    assert set(data["detected_kus"]) == set(LABELS)
+    at = F.lit(WHEN).cast("timestamp_ntz")
+    log = runs.status_rows(runs.run_summary(scored), at, at, F.lit(7).cast("bigint"))
+    found = {(r["repo_name"], r["seq"]): (r["status"], r["progress"], r["error_message"]) for r in log.collect()}
+    assert found == {
+        ("r", 7): ("in-progress", 0, None), ("r", 8): ("error", None, "cannot score"),
+        ("q", 7): ("in-progress", 0, None), ("q", 8): ("completed", 100, None),
+    }
+
+
+def test_arrow_scorer_equals_rule_scorer(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).choice(list("abcdef$_9 Z;"), 80))) for i in range(60)] + [(99, None), (100, "")]
+    frame = spark.createDataFrame(rows, "id int, code string")
+    rule = {r["id"]: r["prediction"] for r in RuleScorer()(frame).collect()}
+    arrow = {r["id"]: r["prediction"] for r in ArrowScorer(rule_model(), parts=3)(frame).collect()}
+    assert arrow.pop(99) is None and set(rule.pop(99)) == {None}
+    assert arrow == rule
+
+
+def test_any_window_per_model_ignores_missing(spark):
+    rows = [("m", "f", None), ("m", "f", 0), ("m", "g", None), ("n", "f", 1), ("n", "f", 0)]
+    out = results.any_window_per_model(spark.createDataFrame(rows, "model string, filename string, prediction int"), ["filename"])
+    assert {(r["model"], r["filename"]): r["detected"] for r in out.collect()} == {
+        ("m", "f"): False, ("m", "g"): False, ("n", "f"): True,
+    }
+
+
+def test_result_reads(spark):
+    stored = no_results(
+        spark,
+        [result(1, "s", timestamp=None), result(2, "s"), result(3, "t"), result(4, "t", repo="orphan"), result(5, "u", repo="o")],
+    )
+    repos = spark.createDataFrame(
+        [(n, u, *[None] * 9) for n, u in (("r", "https://github.com/apache/r"), ("o", "https://h/o"))], REPOSITORIES
+    )
+    assert sorted(r["timestamp"] for r in results.all_results(stored, repos).collect()) == [
+        "2024-01-02T03:04:05", "2024-01-02T03:04:05", "None",
+    ]
+    assert {r["timestamp"] for r in results.results_of(stored, "r").collect()} == {None, "2024-01-02T03:04:05"}
+    assert results.results_of_sha(stored, "t").count() == 2
+    assert [r["timestamp"] for r in results.result_times(stored, "r").collect()] == ["2024-01-02T03:04:05"]
+    assert results.label_feed(stored).columns == ["kus", "author"]
+
+
+def test_wide_export_needs_every_label(spark):
+    stored = no_results(spark, [result(1, "s", detected={"K1": 2, "K2": 0})])
+    row = results.wide_labels(stored, ["K1", "K2"]).first()
+    assert (row["K1"], row["K2"]) == (1, 0)
+    with pytest.raises(Exception, match="K28"):
+        results.wide_labels(stored, ["K1", "K28"]).collect()

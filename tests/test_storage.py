@@ -1,0 +1,157 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from codelabels.operators import scoring
+from codelabels.plans import jobs
+from codelabels.schemas import ANALYSIS_RESULTS, COMMIT_FILES, COMMIT_PATCHES, COMMITS_LOG, CONTRIBUTIONS, STATUS_LOG, create_tables
+from codelabels.session import shared_folder
+from codelabels.sources import files, tables
+from codelabels.streaming.jobs import read_batches, stream_analysis, stream_contributions
+
+WHEN = datetime(2024, 1, 2, 3, 4, 5, 120)
+WORDS = "apple avocado ant arm axe air ale ash;"
+
+
+def test_read_directory(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "A.java").write_bytes(b"a\r\nb\rc\n")
+    (tmp_path / "b.txt").write_text("no")
+    (tmp_path / "sub" / "C.java").write_text("no")
+    rows = files.read_directory(spark, str(tmp_path)).collect()
+    assert [(r["filename"], r["file_content"], r["sha"]) for r in rows] == [("A.java", "a\nb\nc\n", None)]
+    (tmp_path / "Bad.java").write_bytes(b"\xff\xfe")
+    assert files.read_directory(spark, str(tmp_path), on_bad="drop").count() == 1
+    with pytest.raises(Exception, match="Bad.java"):
+        files.read_directory(spark, str(tmp_path)).collect()
+
+
+def test_csv_export(spark, tmp_path):
+    row = (1, "f", "dev, x", WHEN, "s", {"K2": 1, "K3": 0}, 0.1, "r")
+    files.export_csv(spark.createDataFrame([row], ANALYSIS_RESULTS), str(tmp_path / "csv"), ["K2", "K3"])
+    text = next((tmp_path / "csv").glob("part-*")).read_text()
+    assert text.splitlines() == ["filename,author,timestamp,sha,K2,K3", 'f,"dev, x",2024-01-02 03:04:05.000120,s,1,0']
+
+
+def test_create_tables_completes_a_partial_set(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE made LOCATION '{tmp_path / 'made'}'")
+    assert create_tables(spark, "made") == ["repositories", "contributions", "analysis_results"]
+    spark.sql("DROP TABLE made.contributions")
+    assert create_tables(spark, "made") == ["contributions"]
+    assert create_tables(spark, "made") == []
+    row = (1, "f", "d", WHEN, "s", {"K1": 1}, 0.1)
+    rows = spark.createDataFrame([(*row, "a"), (*row, "b'c")], ANALYSIS_RESULTS)
+    rows.write.insertInto("made.analysis_results")
+    tables.drop_repository(spark, "b'c", "made")
+    tables.drop_repository(spark, "never", "made")
+    assert [r["repo_name"] for r in spark.table("made.analysis_results").collect()] == ["a"]
+
+
+def test_appending_numbers_rows_in_order(spark, tmp_path):
+    place = str(tmp_path / "contributions")
+    rows = [("hot", i % 40, f"p{i:03d}", "s", "a", WHEN, "/t/x", "c", [1]) for i in range(200)] + [("b", 1, "p", "s", "a", WHEN, "/t/x", "c", [1])]
+    frame = spark.createDataFrame(
+        rows, "repo_name string, ordinal long, path string, sha string, author string, timestamp timestamp_ntz, temp_filepath string, file_content string, changed_lines array<int>",
+    ).withColumn("file_content", F.concat("path", F.lit("")))
+    tables.append_contributions(frame, place)
+    first = tables.next_seq(tables.load_table(spark, place, CONTRIBUTIONS))
+    tables.append_contributions(frame.limit(1), place, first)
+    stored = tables.load_table(spark, place, CONTRIBUTIONS)
+    assert stored.count() == 202 and stored.select("seq").distinct().count() == 202
+    order = [r["file_content"] for r in stored.where(F.col("repo_name") == "hot").orderBy("seq").collect()]
+    assert order[:200] == [r[2] for r in sorted(rows[:200], key=lambda r: (r[1], r[2]))]
+    assert stored.where(F.col("seq") >= first).count() == 1
+
+
+def test_snapshots_stand_beside_each_other(spark, tmp_path):
+    one = tables.save_snapshot(spark.range(3), str(tmp_path), 1)
+    two = tables.save_snapshot(spark.read.parquet(one).where("id > 0"), str(tmp_path), 2)
+    assert (spark.read.parquet(one).count(), spark.read.parquet(two).count()) == (3, 2)
+    with pytest.raises(Exception, match="exists"):
+        tables.save_snapshot(spark.range(1), str(tmp_path), 2)
+
+
+def test_jdbc_options():
+    options = tables.jdbc_options("jdbc:postgresql://h/d", "commits", numPartitions="8")
+    assert options["dbtable"] == "commits" and options["url"].endswith("/d") and options["numPartitions"] == "8"
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def stored_contributions(spark, n=24):
+    rows = [
+        (i, f"d{i}", WORDS if i % 2 else "int x;", [1], f"/t/f{i % 5}_{i // 6}.java", WHEN, f"s{i // 6}", f"r{i // 6 % 2}")
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, CONTRIBUTIONS)
+
+
+def test_streamed_analysis_equals_batch_and_reruns_add_nothing(spark, tmp_path):
+    rows = stored_contributions(spark)
+    source, place, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    events, statuses = str(tmp_path / "events"), str(tmp_path / "statuses")
+    for commit in range(4):
+        rows.where(F.col("sha") == f"s{commit}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CONTRIBUTIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    start = lambda: stream_analysis(stream, place, state, events=events, statuses=statuses)
+    start()
+    key = lambda df: sorted((r["repo_name"], r["filename"], r["seq"], str(r["detected"])) for r in df.collect())
+    empty = spark.createDataFrame([], ANALYSIS_RESULTS)
+    wanted = key(jobs.saved_results(jobs.analyze(rows, empty)))
+    assert key(read_batches(spark, place)) == wanted
+    closing = [json.loads(r["event"]) for r in spark.read.parquet(events).collect() if '"message"' in r["event"]]
+    assert len(closing) == 4 and all(e["progress"] == 100 for e in closing)
+    assert spark.read.schema(STATUS_LOG).parquet(statuses).where("status = 'completed'").count() == 4
+    start()
+    assert key(read_batches(spark, place)) == wanted
+    # All files again, from a stream that lost its state: known commits are skipped
+    # and each replayed batch replaces what it wrote before.
+    stream_analysis(stream, place, str(tmp_path / "state2"))
+    assert key(read_batches(spark, place)) == wanted
+
+
+def test_streamed_extraction_equals_batch(spark, tmp_path):
+    log = [("r", f"c{i}", "dev", WHEN, [] if i == 9 else [f"c{i + 1}"], i) for i in range(10)]
+    code = "class A {\n  int a;\n}\n"
+    contents = [("r", f"c{i}", f"p{k}.java", code.encode()) for i in range(10) for k in range(3)]
+    diffs = [("r", f"c{i}", f"p{k}.java", f"p{k}.java", "@@ -1 +1,2 @@\n class A {\n+  int a;\n") for i in range(10) for k in range(3)]
+    log, contents, diffs = (
+        spark.createDataFrame(rows, schema)
+        for rows, schema in ((log, COMMITS_LOG), (contents, COMMIT_FILES), (diffs, COMMIT_PATCHES))
+    )
+    source, place = str(tmp_path / "log"), str(tmp_path / "out")
+    for low in (5, 0):
+        log.where(F.col("ordinal").between(low, low + 4)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(COMMITS_LOG).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_contributions(stream, contents, diffs, place, str(tmp_path / "state"), base="/t")
+    key = lambda df: sorted((r["sha"], r["temp_filepath"], r["changed_lines"]) for r in df.collect())
+    stored = read_batches(spark, place, CONTRIBUTIONS)
+    assert key(stored) == key(jobs.extract_contributions(log, contents, diffs, base="/t"))
+    assert stored.select("seq").distinct().count() == stored.count()
+
+
+def test_classifiers_and_registry(spark, tmp_path):
+    rows = [(i, "alpha beta gamma" if i % 2 else "delta eps zeta", float(i % 2)) for i in range(20)]
+    train = spark.createDataFrame(rows, "id int, tokens string, label double")
+    models = {n: scoring.classifier(n, features=20, top=4).fit(train) for n in ("K2", "K3")}
+    place = str(tmp_path / "models")
+    scoring.save_models(models, place)
+    Pipeline(stages=scoring.classifier("K4").getStages()[:2]).fit(train).write().save(f"{place}/K4")
+    assert {r["name"] for r in scoring.model_names(spark, place).collect()} == {"K2", "K3"}
+    loaded = scoring.load_models(spark, place, ["K3", "K4", "K9"])
+    assert list(loaded) == ["K3"]
+    source = spark.createDataFrame([("f", "alpha beta gamma"), ("g", "delta eps zeta"), ("h", "")], "filename string, file_content string")
+    found = {r["filename"]: r["detected"] for r in jobs.score_per_label(source, loaded).collect()}
+    assert found["f"] is True and found["g"] is False
+    table = jobs.label_table(
+        jobs.score_per_label(source, models),
+        source.select("filename", *[F.lit(None).cast("string").alias(c) for c in ("author", "timestamp", "sha")]), ["K2", "K3"],
+    )
+    assert {r["filename"]: r["detected"] for r in table.collect()}["f"] == {"K2": 1, "K3": 1}
