@@ -91,6 +91,10 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     def follow(found: DataFrame, edge: DataFrame) -> DataFrame:
         return found.join(edge, COMMIT).select("repo_name", F.col("parent").alias("sha"))
 
+    def stay_or_step(found: DataFrame, edge: DataFrame) -> DataFrame:
+        both = F.explode(F.array_compact(F.array("sha", "parent")))
+        return found.join(edge, COMMIT, "left").select("repo_name", both.alias("sha")).distinct()
+
     rounds: list[DataFrame] = []
 
     def unseen(found: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     frontier = follow(cursors.select(*COMMIT), first)
     while True:
         for table in jumps:
-            frontier = frontier.union(follow(frontier, table)).distinct()
+            frontier = stay_or_step(frontier, table)
         frontier = settle(unseen(frontier), "reached")
         if frontier.isEmpty():
             break

@@ -21,7 +21,7 @@ def number_within(
     span come from a pre-aggregated table of one row per span. ``df`` is read
     twice, so pass narrow rows.
     """
-    sliced = df.withColumn("_span", F.floor(F.col(order) / span))
+    sliced = df.withColumn("_span", F.col(order) - F.pmod(F.col(order), F.lit(span)))
     counts = sliced.groupBy(group, "_span").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -30,10 +30,12 @@ def extract_contributions(
     base: str = "temp",
     file_type: str = FILE_TYPE,
     path_limit: int = PATH_LIMIT,
+    first_seq: int | None = None,
 ) -> DataFrame:
     """New contributions of each repository's latest commits.
 
-    Commits are chosen on narrow rows before any patch or content is touched.
+    Commits and files are chosen on narrow rows before any patch or content is
+    touched. With ``first_seq`` the rows carry insertion numbers from there on.
     """
     commits = history.newest_commits(log, limit, skip)
     if stored is not None:
@@ -41,8 +43,10 @@ def extract_contributions(
     chosen = history.without_merges(commits).select(
         "repo_name", "sha", "author", F.col("committed_at").alias("timestamp"), "ordinal", "is_root"
     )
-    files = patches.changed_files(chosen, commit_patches, commit_files, base, file_type, path_limit)
-    return patches.with_changed_lines(files)
+    wanted = patches.wanted_files(chosen, commit_patches, base, file_type, path_limit)
+    if first_seq is not None:
+        wanted = patches.number_files(wanted, first_seq)
+    return patches.with_changed_lines(patches.changed_files(wanted, commit_patches, commit_files, file_type))
 
 
 def score_files(files: DataFrame, keys: list[str], scorer: Callable, windows: Windows = WINDOWS) -> DataFrame:

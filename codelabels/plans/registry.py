@@ -153,7 +153,7 @@ def _commits(spark: SparkSession, folder: str) -> DataFrame:
     return derive(spark, folder, "commits_log")
 
 
-def _extracted(spark: SparkSession, folder: str, limit: int | None = None, stored: bool = False, base: str = "temp") -> DataFrame:
+def _extracted(spark: SparkSession, folder: str, limit: int | None = None, stored: bool = False, first_seq: int | None = None) -> DataFrame:
     known = derive(spark, folder, "stored_commits") if stored else None
     return jobs.extract_contributions(
         _commits(spark, folder),
@@ -161,15 +161,14 @@ def _extracted(spark: SparkSession, folder: str, limit: int | None = None, store
         derive(spark, folder, "commit_patches"),
         stored=known,
         limit=limit,
-        base=base,
+        first_seq=first_seq,
     )
 
 
 def _changed_files(spark: SparkSession, folder: str, base: str = "temp") -> DataFrame:
     chosen = history.without_merges(_commits(spark, folder)).select("repo_name", "sha", "ordinal", "is_root")
-    return patches.changed_files(
-        chosen, derive(spark, folder, "commit_patches"), derive(spark, folder, "commit_files"), base
-    )
+    diffs = derive(spark, folder, "commit_patches")
+    return patches.changed_files(patches.wanted_files(chosen, diffs, base), diffs, derive(spark, folder, "commit_files"))
 
 
 EXTRACT_TABLES = ("commits_log", "commit_files", "commit_patches", "stored_commits")
@@ -572,7 +571,7 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
 @query("s7_append_contributions", STORED_SQL)
 def s7(spark: SparkSession, folder: str) -> DataFrame:
     place = fresh_path(spark, "contributions")
-    tables.append_contributions(_extracted(spark, folder, limit=50), place)
+    tables.append_contributions(_extracted(spark, folder, limit=50, first_seq=0), place)
     return _stored_rows(tables.load_table(spark, place))
 
 

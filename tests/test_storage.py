@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from codelabels.operators import scoring
+from codelabels.operators.patches import number_files
 from codelabels.plans import jobs
 from codelabels.schemas import ANALYSIS_RESULTS, COMMIT_FILES, COMMIT_PATCHES, COMMITS_LOG, CONTRIBUTIONS, STATUS_LOG, create_tables
 from codelabels.session import shared_folder
@@ -34,8 +35,10 @@ def test_read_directory(spark, tmp_path):
 def test_csv_export(spark, tmp_path):
     row = (1, "f", "dev, x", WHEN, "s", {"K2": 1, "K3": 0}, 0.1, "r")
     files.export_csv(spark.createDataFrame([row], ANALYSIS_RESULTS), str(tmp_path / "csv"), ["K2", "K3"])
-    text = next((tmp_path / "csv").glob("part-*")).read_text()
-    assert text.splitlines() == ["filename,author,timestamp,sha,K2,K3", 'f,"dev, x",2024-01-02 03:04:05.000120,s,1,0']
+    texts = [part.read_text() for part in (tmp_path / "csv").glob("part-*")]
+    header = "filename,author,timestamp,sha,K2,K3\n"
+    assert all(t.startswith(header) for t in texts)
+    assert "".join(t[len(header) :] for t in texts) == 'f,"dev, x",2024-01-02 03:04:05.000120,s,1,0\n'
 
 
 def test_create_tables_completes_a_partial_set(spark, tmp_path):
@@ -54,13 +57,11 @@ def test_create_tables_completes_a_partial_set(spark, tmp_path):
 
 def test_appending_numbers_rows_in_order(spark, tmp_path):
     place = str(tmp_path / "contributions")
-    rows = [("hot", i % 40, f"p{i:03d}", "s", "a", WHEN, "/t/x", "c", [1]) for i in range(200)] + [("b", 1, "p", "s", "a", WHEN, "/t/x", "c", [1])]
-    frame = spark.createDataFrame(
-        rows, "repo_name string, ordinal long, path string, sha string, author string, timestamp timestamp_ntz, temp_filepath string, file_content string, changed_lines array<int>",
-    ).withColumn("file_content", F.concat("path", F.lit("")))
-    tables.append_contributions(frame, place)
+    rows = [("hot", i % 40, f"p{i:03d}", "s") for i in range(200)] + [("b", 1, "p", "s")]
+    wanted = spark.createDataFrame(rows, "repo_name string, ordinal long, path string, sha string")
+    tables.append_contributions(number_files(wanted).withColumnRenamed("path", "file_content"), place)
     first = tables.next_seq(tables.load_table(spark, place, CONTRIBUTIONS))
-    tables.append_contributions(frame.limit(1), place, first)
+    tables.append_contributions(number_files(wanted.limit(1), first), place)
     stored = tables.load_table(spark, place, CONTRIBUTIONS)
     assert stored.count() == 202 and stored.select("seq").distinct().count() == 202
     order = [r["file_content"] for r in stored.where(F.col("repo_name") == "hot").orderBy("seq").collect()]
