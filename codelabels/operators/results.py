@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import stem
 from ..functions.values import iso, iso_or_none
 from ..schemas import URL_PREFIX
+from ..session import settle
 
 
 def any_window(scored: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
@@ -50,15 +51,24 @@ def wide_labels(results: DataFrame, labels: list[str], detected: str = "detected
     return results.select("filename", "author", "timestamp", "sha", *columns)
 
 
+def analysed_keys(results: DataFrame, by: str = "sha") -> DataFrame:
+    """What :func:`without_analysed` compares with, each key once, settled."""
+    keys = ["sha"] if by == "sha" else ["sha", "filename"]
+    return settle(results.select(*keys).distinct(), "analysed")
+
+
 def without_analysed(contributions: DataFrame, results: DataFrame, by: str = "sha") -> DataFrame:
     """Contributions whose commit has no result in any repository.
 
     ``by="sha_file"`` also completes commits a failed run left half done.
+    ``results`` may be :func:`analysed_keys` of them. A commit may hold a large
+    share of the contributions; AQE splits it as long as both sides are shuffled
+    as they are, so there is no distinct here.
     """
     if by == "sha":
         # A null sha equals nothing, so such rows stay.
-        return contributions.join(results.select("sha").distinct(), "sha", "left_anti")
-    done = results.select("sha", F.col("filename").alias("_stem")).distinct()
+        return contributions.join(results.select("sha"), "sha", "left_anti")
+    done = results.select("sha", F.col("filename").alias("_stem"))
     named = contributions.withColumn("_stem", stem(F.col("temp_filepath")))
     return named.join(done, ["sha", "_stem"], "left_anti").drop("_stem")
 

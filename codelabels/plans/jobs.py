@@ -14,7 +14,9 @@ from ..operators import history, patches, results, runs
 from ..operators.scoring import RuleScorer, classify, fan_out
 from ..operators.windows import file_lines, line_windows
 from ..schemas import FILE_TYPE, HISTORY_PAGE, PATH_LIMIT, WINDOW_GROW, WINDOW_MAX, WINDOW_MIN, WINDOW_MOVE
+from ..session import settle
 
+# min size, max size, growth, move
 Windows = tuple[int, int, int, int]
 WINDOWS: Windows = (WINDOW_MIN, WINDOW_MAX, WINDOW_GROW, WINDOW_MOVE)
 RUN_KEYS = ["seq", "repo_name", "filename", "run_order", "done", "total", "author", "timestamp", "sha"]
@@ -30,12 +32,12 @@ def extract_contributions(
     base: str = "temp",
     file_type: str = FILE_TYPE,
     path_limit: int = PATH_LIMIT,
-    first_seq: int | None = None,
+    first_seq: int = 0,
 ) -> DataFrame:
-    """New contributions of each repository's latest commits.
+    """New contributions of each repository's latest commits, numbered from ``first_seq``.
 
-    Commits and files are chosen on narrow rows before any patch or content is
-    touched. With ``first_seq`` the rows carry insertion numbers from there on.
+    Commits and then files are chosen on narrow rows, and settled, before any
+    patch or content is touched.
     """
     commits = history.newest_commits(log, limit, skip)
     if stored is not None:
@@ -43,9 +45,8 @@ def extract_contributions(
     chosen = history.without_merges(commits).select(
         "repo_name", "sha", "author", F.col("committed_at").alias("timestamp"), "ordinal", "is_root"
     )
-    wanted = patches.wanted_files(chosen, commit_patches, base, file_type, path_limit)
-    if first_seq is not None:
-        wanted = patches.number_files(wanted, first_seq)
+    wanted = patches.wanted_files(settle(chosen, "commits"), commit_patches, base, file_type, path_limit)
+    wanted = patches.number_files(wanted, first_seq)
     return patches.with_changed_lines(patches.changed_files(wanted, commit_patches, commit_files, file_type))
 
 
@@ -68,12 +69,14 @@ def analyze(
     Gives a row per file in run order with ``detected``, ``done``, ``total``,
     ``elapsed_time`` and ``error`` (null unless its scoring failed). Callers who
     use the rows more than once should settle them first, so that all uses see
-    one scoring. Run places are found on narrow rows; the text is fetched once
-    by unique number, which also spreads any hot repository, and the windows of
-    a file are folded without another shuffle.
+    one scoring. Run places are found on narrow rows and settled before the
+    texts are fetched by unique number: few pending files are picked out where
+    the texts lie, many are spread whatever repository they belong to. The
+    windows of a file are folded without another shuffle.
     """
     scorer = scorer or RuleScorer()
-    pending = runs.pending_files(contributions, stored_results, by, content_complete)
+    known = results.analysed_keys(stored_results, by)
+    pending = settle(runs.pending_files(contributions, known, by, content_complete), "pending")
     scored = score_files(runs.with_text(pending, contributions), RUN_KEYS, scorer, windows)
     for name, kind in (("elapsed_time", "double"), ("error", "string")):
         if name not in scored.columns:

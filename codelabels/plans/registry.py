@@ -153,7 +153,7 @@ def _commits(spark: SparkSession, folder: str) -> DataFrame:
     return derive(spark, folder, "commits_log")
 
 
-def _extracted(spark: SparkSession, folder: str, limit: int | None = None, stored: bool = False, first_seq: int | None = None) -> DataFrame:
+def _extracted(spark: SparkSession, folder: str, limit: int | None = None, stored: bool = False) -> DataFrame:
     known = derive(spark, folder, "stored_commits") if stored else None
     return jobs.extract_contributions(
         _commits(spark, folder),
@@ -161,7 +161,6 @@ def _extracted(spark: SparkSession, folder: str, limit: int | None = None, store
         derive(spark, folder, "commit_patches"),
         stored=known,
         limit=limit,
-        first_seq=first_seq,
     )
 
 
@@ -571,7 +570,7 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
 @query("s7_append_contributions", STORED_SQL)
 def s7(spark: SparkSession, folder: str) -> DataFrame:
     place = fresh_path(spark, "contributions")
-    tables.append_contributions(_extracted(spark, folder, limit=50, first_seq=0), place)
+    tables.append_contributions(_extracted(spark, folder, limit=50), place)
     return _stored_rows(tables.load_table(spark, place))
 
 
@@ -808,7 +807,8 @@ query("q11_all_results", ALL_SQL)(_all_results)
 )
 def j2(spark: SparkSession, folder: str) -> DataFrame:
     rows = derive(spark, folder, "contributions").select("seq", "repo_name", "sha")
-    return results.without_analysed(rows, derive(spark, folder, "analysis_results")).select("seq", "repo_name", "sha")
+    known = results.analysed_keys(derive(spark, folder, "analysis_results"))
+    return results.without_analysed(rows, known).select("seq", "repo_name", "sha")
 
 
 @query(

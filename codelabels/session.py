@@ -48,10 +48,12 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame to the shared folder once and go on from the written table.
+    """Write a narrow frame to the shared folder and go on from the written table.
 
-    Cuts the lineage, survives lost executors, and gives the optimizer the
-    table's true size.
+    Used where keys decide which wide rows are needed. The optimizer then knows
+    the keys' true size: few are broadcast and the wide table is filtered where
+    it lies; many are shuffled as a plain table, whose hot keys AQE can split
+    (it cannot below an aggregate). The table also outlives lost executors.
     """
     spark = df.sparkSession
     path = fresh_path(spark, purpose)
