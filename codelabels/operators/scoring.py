@@ -68,17 +68,19 @@ class ArrowScorer:
     """Scores batches of windows with any Python model.
 
     ``load`` runs once per Python task and returns a function from a list of
-    texts to a (texts x labels) array of logits. A batch that fails is retried
-    window by window, so an error marks only the window it belongs to.
+    texts to a (texts x labels) array of logits. It gets at most ``batch`` texts
+    at a time, whatever the size of Arrow's batches. Texts that fail together
+    are retried one by one, so an error marks only the window it belongs to.
     """
 
     load: Callable[[], Callable[[list[str]], np.ndarray]]
     labels: list[str] = field(default_factory=lambda: list(LABELS))
     threshold: float = THRESHOLD
+    batch: int = 256
     parts: int | None = None
 
     def __call__(self, windows: DataFrame) -> DataFrame:
-        load, width = self.load, len(self.labels)
+        load, width, size = self.load, len(self.labels), self.batch
 
         @F.pandas_udf("logits array<double>, elapsed_time double, error string")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -90,15 +92,17 @@ class ArrowScorer:
                 except Exception as problem:  # noqa: BLE001 - reported as data
                     return np.full(width, -np.inf), str(problem) or type(problem).__name__
 
+            def some(texts: list[str]):
+                try:
+                    return [(row, None) for row in np.asarray(predict(texts), dtype=float)]
+                except Exception:  # noqa: BLE001 - find the window at fault
+                    return [one(text) for text in texts]
+
             for codes in batches:
                 begun = time.perf_counter()
                 known = codes.notna()
                 texts = codes[known].tolist()
-                try:
-                    found = list(np.asarray(predict(texts), dtype=float)) if texts else []
-                    pairs = [(row, None) for row in found]
-                except Exception:  # noqa: BLE001 - find the window at fault
-                    pairs = [one(text) for text in texts]
+                pairs = [pair for at in range(0, len(texts), size) for pair in some(texts[at : at + size])]
                 share = (time.perf_counter() - begun) / max(len(codes), 1)
                 out = pd.DataFrame({"logits": None, "elapsed_time": share, "error": None}, index=codes.index, dtype=object)
                 for at, (row, problem) in zip(codes.index[known], pairs, strict=True):

@@ -278,7 +278,9 @@ def f9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    contributions = derive(spark, folder, "contributions").select("seq", "file_content")
+    # Spread by file first: scoring is heavy, scans may be uneven, and the folding
+    # of a file's windows then needs no exchange of its own.
+    contributions = derive(spark, folder, "contributions").select("seq", "file_content").repartition("seq")
     return windows.file_lines(contributions)
 
 
@@ -956,7 +958,7 @@ def repo_url() -> Column:
 
 @query("p2_progress_events", EVENT_SQL)
 def p2(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.run_events(_analysis(spark, folder), repo_url())
+    return jobs.run_events(settle(_analysis(spark, folder), "scored"), repo_url())
 
 
 @query(

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE splits skewed join partitions and merges small ones at run time; NTZ keeps
-# stored times free of the session's zone.
+# AQE splits skewed join partitions and merges small ones at run time. Scoring is
+# heavy per byte, so partitions may stay small where cores are still free.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -91,11 +91,11 @@ _PATCH = """concat('@@ -1,2 +', cast(l_linenumber as string), ',9 @@ class F', c
 
 # One line of an order stands for one changed file; equal lines are one file.
 _CHANGES = """(select l_orderkey, l_partkey, l_linenumber, min(l_suppkey) as l_suppkey,
-    min(l_returnflag) as l_returnflag, cast(min(l_quantity) as int) as qty
+    min(ascii(l_returnflag)) as flag, cast(min(l_quantity) as int) as qty
   from {lineitem} group by l_orderkey, l_partkey, l_linenumber)"""
 
 _PATH = """concat('src/main/p', cast(l_partkey as string), '.v1/F', cast(l_linenumber as string),
-  case when l_returnflag = 'R' then '.py' else '.java' end)"""
+  case when flag = ascii('R') then '.py' else '.java' end)"""
 
 TABLES = {
     "repositories": (
