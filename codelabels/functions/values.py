@@ -9,10 +9,14 @@ from ..schemas import THRESHOLD
 
 
 def iso(ts: Column) -> Column:
-    """ISO-8601 text; microseconds appear only when there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    part = F.date_format(ts, ".SSSSSS")
-    return F.concat(whole, F.when(part == ".000000", "").otherwise(part))
+    """ISO-8601 text; microseconds appear only when there are any.
+
+    Built from the cast to text, which no session zone can shift.
+    """
+    plain = ts.cast("string")
+    part = F.substring(plain, 20, 7)
+    whole = F.replace(F.substring(plain, 1, 19), F.lit(" "), F.lit("T"))
+    return F.concat(whole, F.when(part == "", "").otherwise(F.rpad(part, 7, "0")))
 
 
 def iso_or_none(ts: Column) -> Column:
@@ -25,7 +29,7 @@ def from_iso(text: Column) -> Column:
 
 
 def plain_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return F.substring(ts.cast("string"), 1, 19)
 
 
 def from_epoch(seconds: Column, zone: str = "UTC") -> Column:

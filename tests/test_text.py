@@ -135,6 +135,19 @@ def test_times_and_figures(spark, apply):
     assert done[28]["p"] == 28 and done[56]["p"] == 56 and done[57]["p"] == 57
 
 
+def test_times_do_not_depend_on_the_session_zone(spark, apply):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stamps = ["2024-03-10 02:30:00", "2024-11-03 01:30:00.000007"]
+        ntz = lambda make: (lambda c: make(c.cast("timestamp_ntz")))
+        assert apply(ntz(values.iso), stamps) == ["2024-03-10T02:30:00", "2024-11-03T01:30:00.000007"]
+        assert apply(ntz(values.plain_time), stamps)[0] == "2024-03-10 02:30:00"
+        assert str(apply(values.from_epoch, [1710037800], "bigint")[0]) == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_threshold_is_strict(apply):
     assert apply(lambda c: values.decide(c), [[0.0, 1e-9, -1.0, 40.0, -800.0]], "array<double>") == [[0, 1, 0, 1, 0]]
 
