@@ -744,11 +744,11 @@ query("s3_results_of_repository", RESULTS_OF_SQL)(_results_of)
 query("q10_results", RESULTS_OF_SQL)(_results_of)
 
 
-@query("s4_results_of_sha", f"{_RESULTS} select {_RESULT_ROW} from analysis_results_t where sha = md5('{REPO}/8')")
+@query("s4_results_of_sha", f"{_RESULTS} select {_RESULT_ROW} from analysis_results_t where sha = md5('{REPO}/1')")
 def s4(spark: SparkSession, folder: str) -> DataFrame:
     from hashlib import md5
 
-    sha = md5(f"{REPO}/8".encode()).hexdigest()
+    sha = md5(f"{REPO}/1".encode()).hexdigest()
     return _encoded(results.results_of_sha(derive(spark, folder, "analysis_results"), sha))
 
 
