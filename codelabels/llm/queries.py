@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, line_dedup, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,40 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    labels = read(spark, folder, "labels").filter(toxicity.for_training(F.col("doc_id")))
+    return toxicity.fit(docs, labels)
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and verdict of every document; learnt without the held-out fifth."""
+    docs = read(spark, folder, "documents")
+    model = toxicity_model(spark, folder, docs)
+    scored = docs.select("doc_id", F.coalesce(~toxicity.for_training(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's lines less those that a smaller document holds."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+CHECKS["op9_line_dedup"] = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+),
+shared AS (SELECT k, min(doc_id) AS holder FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT doc_id, pos, line, coalesce(holder < doc_id, false) AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
