@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, simhash, toxicity
+from . import bpe, line_dedup, mixing, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,67 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# The mixture: domains by source, as an editor would group them.
+DOMAINS = ("web", "books", "news", "reference")
+TARGETS = mixing.Targets({"web": 4, "books": 3, "news": 2, "reference": 1}, {"en": 6, "de": 2, "fr": 2, "es": 1}, {"src0": 3})
+MAX_EPOCHS, SEED = 4, 7
+
+
+def domain() -> Column:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (F.pmod(F.coalesce(F.try_to_number(number, F.lit("999999999")), F.lit(0)), F.lit(4)) + 1).cast("int"))
+
+
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its leaf, tokens and number of copies in the mixture."""
+    marked, leaves = mixing.plan(read(spark, folder, "documents"), TARGETS, domain(), max_epochs=MAX_EPOCHS, seed=SEED)
+    return mixing.copies(marked, leaves, SEED).withColumnRenamed("id", "doc_id")
+
+
+def _share_sql(name: str, nodes: str, parent: str, child: str) -> str:
+    """One level of the tree: nodes has parent, child, capacity, weight, given."""
+    over = f"OVER (PARTITION BY {parent})"
+    before = f"OVER (PARTITION BY {parent} ORDER BY capacity::DOUBLE / weight::DOUBLE, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_sums AS (
+  SELECT * EXCLUDE (given), sum(weight) {over} AS every, coalesce(sum(weight) {before}, 0) AS w, coalesce(sum(capacity) {before}, 0) AS c,
+    least(given, sum(capacity) {over}) AS given
+  FROM ({nodes})
+),
+{name}_full AS (SELECT *, capacity::HUGEINT * (every - w)::HUGEINT <= weight::HUGEINT * greatest(given - c, 0)::HUGEINT AS is_full FROM {name}_sums),
+{name} AS (
+  SELECT *, CASE WHEN is_full THEN capacity ELSE least(capacity,
+      (weight::HUGEINT * (given - coalesce(sum(capacity) FILTER (WHERE is_full) {over}, 0))::HUGEINT)
+      // nullif(every - coalesce(sum(weight) FILTER (WHERE is_full) {over}, 0), 0)::HUGEINT) END AS budget
+  FROM {name}_full
+)"""
+
+
+CHECKS["op1_mixing"] = f"""
+WITH marked AS (
+  SELECT doc_id, coalesce(['web', 'books', 'news', 'reference'][1 + coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), '') AS BIGINT), 0) % 4], '') AS domain,
+    coalesce(lang, '') AS language, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens
+  FROM documents
+),
+leaves AS (
+  SELECT domain, language, source, sum(n_tokens) AS tokens, sum(n_tokens) * {MAX_EPOCHS} AS capacity,
+    CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'news' THEN 2 WHEN 'reference' THEN 1 ELSE 1 END AS dw,
+    CASE language WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END AS lw,
+    CASE source WHEN 'src0' THEN 3 ELSE 1 END AS sw
+  FROM marked GROUP BY ALL
+),
+{_share_sql("top", "SELECT 0 AS top, domain, sum(capacity) AS capacity, any_value(dw) AS weight, (SELECT sum(tokens) FROM leaves) AS given FROM leaves GROUP BY domain", "top", "domain")},
+{_share_sql("middle", "SELECT l.domain, l.language, sum(l.capacity) AS capacity, any_value(lw) AS weight, any_value(t.budget) AS given FROM leaves l JOIN top t ON l.domain = t.domain GROUP BY l.domain, l.language", "domain", "language")},
+{_share_sql("low", "SELECT l.domain, l.language, l.source, l.tokens, l.capacity, sw AS weight, m.budget AS given FROM leaves l JOIN middle m ON l.domain = m.domain AND l.language = m.language", "domain, language", "source")},
+ends AS (SELECT *, coalesce(budget // nullif(tokens, 0), 0) AS whole, budget - coalesce(budget // nullif(tokens, 0), 0) * tokens AS room FROM low),
+placed AS (
+  SELECT m.*, e.whole, e.room, md5('{SEED}:' || (e.whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM marked m JOIN ends e ON m.domain = e.domain AND m.language = e.language AND m.source = e.source
+)
+SELECT doc_id, domain, language, source, n_tokens,
+  (whole + (sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= room)::INT)::BIGINT AS copies
+FROM placed
+"""
