@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, simhash, toxicity
+from . import bpe, line_dedup, mixing, quality, simhash, toxicity, urls
+from ..session import settle
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,29 @@ SELECT doc_id, domain, language, source, n_tokens,
   (whole + (sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= room)::INT)::BIGINT AS copies
 FROM placed
 """
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, the base rule, and the verdict of all rules together."""
+    counted = read(spark, folder, "documents").select("doc_id", quality.counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    voted = settle(counted.withColumn("votes", quality.votes()), "quality-votes")
+    good = quality.fit(voted).probability(F.col("votes"))
+    judged = voted.withColumns({"base_failed": quality.base_failed(), "quality": good})
+    return judged.select("doc_id", *quality.COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"), "quality")
+
+
+URL_RULES = tuple(urls.Rule(*r) for r in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """URLs on which the editors' rules have spoken: what the filter learns from."""
+    hit = urls.ruled(urls.host(F.col("url")), urls.path(F.col("url")), URL_RULES)
+    return pages.select("url", (hit["verdict"] == "block").cast("int").alias("label")).dropna()
+
+
+@query
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    pages = read(spark, folder, "pages")
+    return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(pages)))
