@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, simhash, toxicity, urls
-from ..session import settle
+from . import bpe, line_dedup, mixing, pii, quality, simhash, topk, toxicity, urls, warc
+from ..session import fresh_path, settle
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,72 @@ def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     pages = read(spark, folder, "pages")
     return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(pages)))
+
+
+@query
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth one."""
+    vectors = read(spark, folder, "embeddings")
+    return topk.search(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+CHECKS["op7_topk"] = """
+WITH held AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+long AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM held),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, sum(a.w * b.w)::BIGINT AS score
+  FROM long a JOIN long b ON a.term = b.term AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def archived(records: DataFrame) -> DataFrame:
+    """What archives say of each page; the digest of a stored payload is taken anew from its bytes."""
+    stored = F.col("payload").isNotNull()
+    return records.select(
+        warc.number(F.col("record_id")).alias("page_id"),
+        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        warc.number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes a record per page, repeated payloads once, and reads the archives back."""
+    archives = fresh_path(spark, "warc")
+    warc.write(warc.marked(read(spark, folder, "pages")), archives)
+    return archived(warc.read(spark, archives))
+
+
+CHECKS["op10_warc"] = """
+WITH bodies AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM bodies WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM bodies b LEFT JOIN firsts f ON b.digest = f.digest
+"""
+
+
+def span_texts(found: Column) -> Column:
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]), s["end"], s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the number of each pattern's spans, their digest, and all spans."""
+    docs = read(spark, folder, "documents")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("found"))
+    base = F.filter("found", lambda s: s["base"])
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(span_texts(base), 256).alias("base_sha256"), span_texts(F.col("found")).alias("spans"))
