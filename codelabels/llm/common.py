@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +23,12 @@ ARROW = {
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as the queries read it: Arrow batches bounded, this package importable by workers."""
     for key, value in ARROW.items():
         spark.conf.set(key, value)
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in (paths := env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
