@@ -8,12 +8,13 @@ replaced by a wildcard (a pair with one bit in each segment meets there; the rem
 pairs agree in a whole segment). Variants that several fingerprints share are found by
 equality.
 
-Verification must not compare all pairs that share a variant, since a large group of
-near copies shares it. So the other segment is treated alike: under a wildcard variant
-by its own one-wildcard variants; under an equal segment, where two bits may differ, by
-the values one bit away. All fingerprints with the same pair of keys are within two
-bits of each other, at most 33 of them exist, and linking each to the smallest loses no
-connection. The distance of each such link is checked.
+The pairs of a variant that few fingerprints share are joined and verified. Where more
+than 64 share one, as in a large group of near copies, not all pairs are compared: the
+other segment is treated alike, under a wildcard variant by its own one-wildcard
+variants; under an equal segment, where two bits may differ, by the values one bit
+away. All fingerprints with the same pair of keys are within two bits of each other, at
+most 33 of them exist, and linking each to the smallest loses no connection. So either
+way a fingerprint meets at most about 33 rows per variant, and no link is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import plain, unused
 from .components import components
 
 SEED, DISTANCE, WORDS = 42, 2, 3
+FEW = 64  # so many fingerprints have as many pairs as second-level keys
 _BLOCK = 255 * 64  # rows of bits summed at a time
 
 
@@ -95,7 +97,7 @@ def _refined(candidates: DataFrame) -> DataFrame:
     return candidates.select("fp", "key", place.alias("place"), rest.alias("rest")).select("fp", "key", F.explode(F.when(F.col("place") >= 32, near).otherwise(wild)).alias("mid"))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, few: int = FEW) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within two bits."""
     spark = prints.sparkSession
     dealt = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
@@ -103,11 +105,15 @@ def links(prints: DataFrame) -> DataFrame:
     # One number per variant: fingerprints, and in the upper half those with the wildcard bit set.
     sums = index.groupBy("key").agg(F.sum(F.lit(1).cast("long") + F.shiftleft(F.col("bit").cast("long"), 32)).alias("n"))
     count, ones = F.col("n").bitwiseAND(0xFFFFFFFF), F.shiftright("n", 32)
-    shared = settle(sums.filter((count > 1) & ((F.shiftright("key", 32) >= 32) | ((ones > 0) & (ones < count)))).select("key"), "simhash-variants")
-    refined = _refined(index.join(shared, "key").select("fp", "key"))
+    shared = sums.filter((count > 1) & ((F.shiftright("key", 32) >= 32) | ((ones > 0) & (ones < count))))
+    shared = settle(shared.select("key", count.alias("n")), "simhash-variants")
+    candidates = settle(index.join(shared, "key").select("fp", "key", "n"), "simhash-candidates")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    cold = candidates.filter(F.col("n") <= few)
+    pairs = cold.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & near)
     group = Window.partitionBy("key", "mid")
-    found = refined.withColumn("a", F.min("fp").over(group)).filter("a <> fp").select("a", F.col("fp").alias("b"))
-    return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
+    stars = _refined(candidates.filter(F.col("n") > few)).select(F.min("fp").over(group).alias("a"), F.col("fp").alias("b")).filter((F.col("a") < F.col("b")) & near)
+    return pairs.select("a", "b").unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

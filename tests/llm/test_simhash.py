@@ -49,11 +49,13 @@ def test_links_connect_what_is_within_two_bits(spark):
                 value ^= 1 << rng.randrange(64)
     prints |= {rng.getrandbits(64) for _ in range(50)}
     prints = [signed(p) for p in prints]
-    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))
-    pairs = found.collect()
-    assert all(0 < bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") <= 2 for r in pairs)
-    roots = {r["node"]: r["root"] for r in components(found, "a", "b").collect()}
-    assert {p: roots.get(p, p) for p in prints} == groups(prints, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2)
+    wanted = groups(prints, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2)
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for few in (64, 4, 0):
+        found = simhash.links(frame, few)
+        assert all(0 < bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") <= 2 for r in found.collect())
+        roots = {r["node"]: r["root"] for r in components(found, "a", "b").collect()}
+        assert {p: roots.get(p, p) for p in prints} == wanted
 
 
 def test_chain_and_star(spark):
