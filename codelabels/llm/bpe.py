@@ -13,6 +13,7 @@ Ids travel as little-endian unsigned 32-bit integers in one binary value.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ def _ranks(path: str) -> dict[bytes, int]:
 class _Pieces(dict):
     """Ids of pre-tokens as bytes, remembered up to a bound per worker."""
 
-    bound = 200_000
+    bound = 100_000
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -73,15 +74,24 @@ def _matcher(pattern: str):
     return regex.compile(pattern)
 
 
-def _encoded(text: Column, path: str, pattern: str) -> Column:
-    @F.arrow_udf("binary")
+def _coded(text: Column, path: str, pattern: str) -> Column:
+    """Struct of the ids and the bytes they decode to, both made by the same worker."""
+
+    @F.arrow_udf("struct<ids:binary,raw:binary>")
     def run(texts: pa.Array) -> pa.Array:
-        split, ids = _matcher(pattern).findall, _pieces(path, pattern).__getitem__
-        return pa.array([b"".join(map(ids, split(t))) for t in plain(texts)], pa.binary())
+        split, ids, token = _matcher(pattern).findall, _pieces(path, pattern).__getitem__, _tokens(path).__getitem__
+        coded = [b"".join(map(ids, split(t))) for t in plain(texts)]
+        return structs(ids=(coded, pa.binary()), raw=([_decoded(c, token) for c in coded], pa.binary()))
 
     return run(text)
 
 
+def _decoded(ids: bytes, token: Callable[[int], bytes]) -> bytes:
+    import numpy as np
+
+    return b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
+
+
 def _edges(text: Column, last: Column, pattern: str, chunk: int, overlap: int) -> Column:
     """Places in the overlaps at which a pre-token starts: head, from the chunk's start; tail, from the next one's."""
 
@@ -98,18 +108,20 @@ def _edges(text: Column, last: Column, pattern: str, chunk: int, overlap: int) -
     return run(text, last)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """The kept columns of every row and the ids of its text.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", raw: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The kept columns of every row, the ids of its text and, if raw is named, the bytes they decode to.
 
     A null text counts as empty and has no ids. Repeated rows give repeated
     results; keys may be null. Other columns of docs play no part.
     """
     long_text = F.coalesce(F.length(text), F.lit(0)) > chunk
-    short = docs.filter(~long_text).select(*keep, _encoded(F.col(text), path, pattern).alias(ids))
-    return short.unionByName(_long(docs.filter(long_text), path, pattern, text, keep, ids, chunk, overlap))
+    (coded,) = unused(docs, "coded")
+    short = docs.filter(~long_text).select(*keep, _coded(F.col(text), path, pattern).alias(coded))
+    both = short.unionByName(_long(docs.filter(long_text), path, pattern, text, keep, coded, chunk, overlap))
+    return both.select(*keep, F.col(f"{coded}.ids").alias(ids), *([F.col(f"{coded}.raw").alias(raw)] if raw else []))
 
 
-def _long(docs: DataFrame, path: str, pattern: str, text: str, keep: tuple[str, ...], ids: str, chunk: int, overlap: int) -> DataFrame:
+def _long(docs: DataFrame, path: str, pattern: str, text: str, keep: tuple[str, ...], coded: str, chunk: int, overlap: int) -> DataFrame:
     kept = F.struct(*(F.col(c) for c in keep)).alias("kept")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), kept, F.col(text).alias("body"))
     last = ((F.length("body") - 1) / chunk).cast("int")
@@ -131,10 +143,13 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, keep: tuple[str,
     loose = placed.filter("whole = 0").select("row", "kept", "i", F.substring(F.col("part"), F.lit(1), F.lit(chunk)).alias("part"))
     one = loose.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("i", "part"))).alias("parts"))
     one = one.select("row", "kept", F.lit(0).alias("i"), F.array_join(F.col("parts.part"), "").alias("piece"))
-    done = stitched.unionByName(one).select("row", "kept", "i", _encoded(F.col("piece"), path, pattern).alias("ids"))
-    per_row = done.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-    joined = F.aggregate(F.col("parts.ids"), F.lit(b""), lambda a, b: F.concat(a, b))
-    return per_row.select(*(F.col("kept").getField(c).alias(c) for c in keep), joined.alias(ids))
+    done = stitched.unionByName(one).select("row", "kept", "i", _coded(F.col("piece"), path, pattern).alias("coded"))
+    per_row = done.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("i", "coded"))).alias("parts"))
+
+    def joined(name: str) -> Column:
+        return F.aggregate(F.col(f"parts.coded.{name}"), F.lit(b""), lambda a, b: F.concat(a, b)).alias(name)
+
+    return per_row.select(*(F.col("kept").getField(c).alias(c) for c in keep), F.struct(joined("ids"), joined("raw")).alias(coded))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -142,10 +157,8 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def run(batch: pa.Array) -> pa.Array:
-        import numpy as np
-
-        of = _tokens(path).__getitem__
-        return pa.array([None if b is None else b"".join(map(of, np.frombuffer(b, "<u4").tolist())) for b in batch.to_pylist()], pa.binary())
+        token = _tokens(path).__getitem__
+        return pa.array([None if b is None else _decoded(b, token) for b in batch.to_pylist()], pa.binary())
 
     return run(ids)
 
@@ -156,6 +169,6 @@ def n_ids(ids: Column) -> Column:
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **sizes: int) -> DataFrame:
     """Per row: the kept columns, n_tokens, ids_sha256, and decoded_sha256 after the round trip."""
-    (ids,) = unused(docs, "ids")
-    coded = encode(docs, path, pattern, text, keep, ids, **sizes)
-    return coded.select(*keep, n_ids(F.col(ids)).alias("n_tokens"), F.sha2(F.col(ids), 256).alias("ids_sha256"), F.sha2(decode(F.col(ids), path), 256).alias("decoded_sha256"))
+    ids, raw = unused(docs, "ids", "raw")
+    coded = encode(docs, path, pattern, text, keep, ids, raw, **sizes)
+    return coded.select(*keep, n_ids(F.col(ids)).alias("n_tokens"), F.sha2(F.col(ids), 256).alias("ids_sha256"), F.sha2(F.col(raw), 256).alias("decoded_sha256"))

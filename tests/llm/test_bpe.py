@@ -34,6 +34,10 @@ def test_same_ids_as_the_library(spark):
             assert raw == (t or "").encode()
             wanted.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(raw).hexdigest()))
         assert found == sorted(wanted, key=str)
+    ids = bpe.encode(docs, PATH, PATTERN)
+    assert ids.columns == ["doc_id", "ids"]
+    raw = ids.select(bpe.decode(ids["ids"], PATH).alias("raw"))
+    assert sorted(bytes(r["raw"]) for r in raw.collect()) == sorted((t or "").encode() for _, t, *_ in rows)
 
 
 def test_empty_table(spark):
