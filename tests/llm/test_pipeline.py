@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_bpe import REAL
+from test_line_dedup import brute as brute_lines
+from test_mixing import brute as brute_mix
+from test_simhash import brute_print, groups, signed
+
+import corpus_pipeline
+from codelabels.llm import queries
+from codelabels.llm.mixing import LEVELS
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(12)
+    words = [a + b for a in ("ba", "ko", "mi", "tu") for b in ("lo", "ne", "ri", "sa", "zu")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [line(8) for _ in range(4)]
+    docs = []
+    for i in range(120):
+        text = "\n".join([line(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 6))] + ([rng.choice(shared)] if i % 3 else []))
+        docs.append([i, text, rng.choice(["en", "de", None]), f"src{rng.randrange(4)}"])
+    for i in range(120, 160):
+        docs.append([i, docs[i - 120][1] if i % 2 else docs[i - 120][1].replace("ba", "ko", 1), "en", "src0"])
+    labels = []
+    for i in range(160, 220):
+        bad = i % 2
+        docs.append([i, f"{line(12)} {'moron scum ' * bad}{line(5)}", "en", "src1"])
+        labels.append((i, 1, bad))
+    docs += [[300, None, None, None], [301, "", "en", "src0"], [302, docs[0][1], "en", "src9"], [None, "no key " + line(9), "en", "src0"], docs[5][:]]
+    path = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(*d, len(d[1] or ""), "more") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, fp string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_stages_against_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, inputs = docs.columns, []
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    for _, stage in corpus_pipeline.STAGES:
+        inputs.append([r.asDict() for r in docs.collect()])
+        out = stage(spark, docs, folder)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.columns == (columns if stage is not corpus_pipeline.encoded else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    raw, clean, lines, kept, mixed = inputs
+    # Toxicity: documents with the words go, all others stay.
+    assert sorted(map(str, clean)) == sorted(str(r) for r in raw if "moron" not in (r["text"] or ""))
+    # Lines.
+    wanted = brute_lines([(r["doc_id"], r["text"]) for r in clean])
+    assert sorted(((r["doc_id"], r["text"] or "") for r in lines), key=str) == sorted(((i, t) for i, _, _, t in wanted), key=str)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in lines)
+    # Near copies: the smallest key of each component.
+    prints = {r["text"]: signed(brute_print(r["text"])) for r in lines}
+    root = groups(sorted(set(prints.values())), lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2)
+    first = {}
+    for r in lines:
+        first.setdefault(root[prints[r["text"]]], set()).add(r["doc_id"])
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(min(ids - {None}, default=None)) for ids in first.values())
+    # Mixture: every row as often as the budget says.
+    domain = {r[0]: r[1] for r in spark.createDataFrame([(r["source"],) for r in kept], "source string").select("source", queries.domain()).distinct().collect()}
+    counts = brute_mix([(r["doc_id"], r["text"], r["lang"], r["source"], domain[r["source"]]) for r in kept], queries.TARGETS, None, queries.MAX_EPOCHS, queries.SEED)
+    assert sorted(str(r["doc_id"]) for r in mixed) == sorted(str(c[0]) for c in counts for _ in range(c[-1])) and len(LEVELS) == 3
+    # Encoding, by the library; run() gives the same rows as the stages by hand.
+    tokens = sorted((str(r["doc_id"]), len(REAL.encode_ordinary(r["text"] or ""))) for r in mixed)
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in docs.collect()) == tokens
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()) == tokens
+
+
+def test_no_documents(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
