@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
@@ -254,6 +256,12 @@ def _labelled_spans(text: str, labels: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _apart(extra: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of extra that touch no span of base; both are in order of start."""
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    return [s for s in extra if not (n := bisect_left(starts, s[2])) or reach[n - 1] <= s[0]]
+
+
 def _joined(texts: list[str]):
     import numpy as np
 
@@ -276,7 +284,7 @@ def found_spans(texts: list[str], model: Model | None) -> list[list[tuple[int, i
     for i, (t, start, end) in enumerate(zip(texts, _before(ends).tolist(), ends.tolist(), strict=True)):
         if labels[start:end].any():
             extra = _labelled_spans(t, labels[start:end].tolist())
-            out[i] = sorted(out[i] + [(*s, False) for s in extra if all(s[2] <= a or b <= s[0] for a, _, b in base[i])])
+            out[i] = sorted(out[i] + [(*s, False) for s in _apart(extra, base[i])])
     return out
 
 

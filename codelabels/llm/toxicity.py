@@ -97,7 +97,14 @@ def _density(text: str, weights: tuple[tuple[str, float], ...], exceptions: tupl
         (spared if weight is None else hits).append((start, end, weight))
     if not hits:
         return 0.0
-    total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+    # One sweep by start: a hit is spared if a phrase that began by then reaches its end.
+    total, reach, waiting = 0.0, -1, iter(sorted((a, b) for a, b, _ in spared))
+    following = next(waiting, None)
+    for start, end, weight in sorted(hits):
+        while following and following[0] <= start:
+            reach, following = max(reach, following[1]), next(waiting, None)
+        if end > reach:
+            total += weight
     return 100 * total / (20 + folded.count(" ") + folded.count("\n"))
 
 
