@@ -54,8 +54,12 @@ def upsert_repositories(repositories: DataFrame, updates: DataFrame, now: Column
 def delete_repositories(
     names: DataFrame, repositories: DataFrame, contributions: DataFrame, results: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All three tables without the repositories in ``names`` (column ``name``)."""
-    gone = names.select("name").distinct()
+    """All three tables without the repositories in ``names`` (column ``name``).
+
+    Names may repeat. There is no distinct: below the join it would keep AQE
+    from splitting a repository that holds a large share of the texts.
+    """
+    gone = names.select("name")
     by_repo = gone.withColumnRenamed("name", "repo_name")
     return (
         repositories.join(gone, "name", "left_anti"),

@@ -7,25 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import stem
 from ..functions.values import iso, progress
-from ..schemas import DONE_MESSAGE, STATUS_DONE, STATUS_ERROR, STATUS_RUNNING
+from ..schemas import DONE_MESSAGE, NO_COMMITS, STATUS_DONE, STATUS_ERROR, STATUS_RUNNING
+from ..session import settle
 from .ranking import number_within
 from .results import last_per_stem, without_analysed
 
 
 def pending_files(
-    contributions: DataFrame, results: DataFrame, by: str = "sha", content_complete: bool = False
+    contributions: DataFrame,
+    results: DataFrame,
+    by: str = "sha",
+    content_complete: bool = False,
+    requested: DataFrame | None = None,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """Files a run will score: seq, place in the run and the run's length.
 
     Works on narrow columns throughout. Contributions without text cannot
     become files and do not replace an earlier one of the same name; pass
     ``content_complete=True`` when the table has none (the extraction never
-    writes any), which spares reading the text column here.
+    writes any), which spares reading the text column here. ``requested`` keeps
+    the repositories it names (``repo_name``), ``scored`` names contributions
+    (``seq``) to leave out whatever their commit.
     """
     rows = contributions.where(F.col("temp_filepath").isNotNull())
     if not content_complete:
         rows = rows.where(F.col("file_content").isNotNull())
     narrow = rows.select("seq", "repo_name", "sha", "temp_filepath")
+    if requested is not None:
+        narrow = narrow.join(requested.select("repo_name"), "repo_name", "left_semi")
+    if scored is not None:
+        narrow = narrow.join(scored.select("seq"), "seq", "left_anti")
     named = without_analysed(narrow, results, by).select(
         "seq", "repo_name", stem(F.col("temp_filepath")).alias("filename")
     )
@@ -45,13 +57,17 @@ def with_text(pending: DataFrame, contributions: DataFrame) -> DataFrame:
 
 
 def before_failure(scored: DataFrame) -> DataFrame:
-    """Files of each repository's run that precede its first failing one."""
+    """Files of each repository's run that precede its first failing one.
+
+    The failures are settled, so that AQE can split a large run in the join;
+    a scorer that cannot fail leaves nothing to scan for them.
+    """
     failed = (
         scored.where(F.col("error").isNotNull())
         .groupBy("repo_name")
         .agg(F.min("run_order").alias("_failed_at"))
     )
-    joined = scored.join(failed, "repo_name", "left")
+    joined = scored.join(settle(failed, "failed"), "repo_name", "left")
     kept = F.col("_failed_at").isNull() | (F.col("run_order") < F.col("_failed_at"))
     return joined.where(kept).drop("_failed_at", "error")
 
@@ -99,23 +115,58 @@ def run_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def requested_runs(requested: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Per requested repository: has it any contributions?"""
+    known = contributions.select("repo_name").distinct().withColumn("has_commits", F.lit(True))
+    asked = requested.select("repo_name").where(F.col("repo_name").isNotNull()).distinct()
+    return asked.join(known, "repo_name", "left").select("repo_name", F.coalesce("has_commits", F.lit(False)).alias("has_commits"))
+
+
+def every_run(asked: DataFrame, summary: DataFrame) -> DataFrame:
+    """The summary of each requested run, also of those with nothing to do.
+
+    A repository without contributions has an error and no run.
+    """
+    joined = asked.join(summary, "repo_name", "left")
+    missing = F.when(~F.col("has_commits"), F.lit(NO_COMMITS))
+    return joined.select(
+        "repo_name",
+        "has_commits",
+        F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
+        "failed_at",
+        F.coalesce("error", missing).alias("error"),
+    )
+
+
+def _status(seq: Column, status: Column, started: Column, ended: Column | None = None, percent: Column | None = None, error: Column | None = None) -> list[Column]:
+    return [
+        seq.cast("bigint").alias("seq"),
+        F.col("repo_name"),
+        status.alias("status"),
+        started.cast("timestamp_ntz").alias("start_time"),
+        (F.lit(None) if ended is None else ended).cast("timestamp_ntz").alias("end_time"),
+        (F.lit(None) if percent is None else percent).cast("int").alias("progress"),
+        (F.lit(None) if error is None else error).cast("string").alias("error_message"),
+    ]
+
+
+def opening_status(runs: DataFrame, started: Column, first_seq: Column) -> DataFrame:
+    """Status-log entries written before a run's files are scored."""
+    return runs.select(*_status(first_seq, F.lit(STATUS_RUNNING), started, percent=F.lit(0)))
+
+
+def rising_status(saved: DataFrame, started: Column, first_seq: Column) -> DataFrame:
+    """One entry per saved file with the share that is done."""
+    share = progress(F.col("done"), F.col("total"))
+    return saved.select(*_status(first_seq + F.col("done"), F.lit(STATUS_RUNNING), started, percent=share))
+
+
+def closing_status(runs: DataFrame, started: Column, ended: Column, last_seq: Column) -> DataFrame:
+    failed = F.col("error").isNotNull()
+    status = F.when(failed, STATUS_ERROR).otherwise(STATUS_DONE)
+    return runs.select(*_status(last_seq, status, started, ended, F.when(~failed, 100), F.col("error")))
+
+
 def status_rows(runs: DataFrame, started: Column, ended: Column, first_seq: Column) -> DataFrame:
     """Status-log entries that open and close each run."""
-    failed = F.col("error").isNotNull()
-    opened = F.struct(
-        first_seq.alias("seq"),
-        F.lit(STATUS_RUNNING).alias("status"),
-        started.alias("start_time"),
-        F.lit(None).cast("timestamp_ntz").alias("end_time"),
-        F.lit(0).alias("progress"),
-        F.lit(None).cast("string").alias("error_message"),
-    )
-    closed = F.struct(
-        (first_seq + 1).alias("seq"),
-        F.when(failed, STATUS_ERROR).otherwise(STATUS_DONE).alias("status"),
-        started.alias("start_time"),
-        ended.alias("end_time"),
-        F.when(~failed, 100).alias("progress"),
-        F.col("error").alias("error_message"),
-    )
-    return runs.select("repo_name", F.inline(F.array(opened, closed)))
+    return opening_status(runs, started, first_seq).unionByName(closing_status(runs, started, ended, first_seq + 1))

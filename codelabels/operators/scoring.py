@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, UnivariateFeatureSelector
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, UnivariateFeatureSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,10 +104,10 @@ class ArrowScorer:
                 texts = codes[known].tolist()
                 pairs = [pair for at in range(0, len(texts), size) for pair in some(texts[at : at + size])]
                 share = (time.perf_counter() - begun) / max(len(codes), 1)
-                out = pd.DataFrame({"logits": None, "elapsed_time": share, "error": None}, index=codes.index, dtype=object)
-                for at, (row, problem) in zip(codes.index[known], pairs, strict=True):
-                    out.at[at, "logits"], out.at[at, "error"] = row.tolist(), problem
-                yield out
+                found = iter(pairs)
+                rows = [next(found) if k else (None, None) for k in known]
+                logits = [None if row is None else row.tolist() for row, _ in rows]
+                yield pd.DataFrame({"logits": logits, "elapsed_time": share, "error": [problem for _, problem in rows]}, dtype=object)
 
         source = windows.repartition(self.parts) if self.parts else windows
         rest = [c for c in windows.columns if c != "code"]
@@ -142,36 +142,6 @@ def rule_model(labels: int = len(LABELS), min_hits: int = MIN_HITS) -> Callable[
     return load
 
 
-def onnx_model(model_path: str, tokenizer_path: str, max_length: int = 512) -> Callable[[], Callable]:
-    """A sequence classifier exported to ONNX with its tokenizer file.
-
-    Both files must lie where every executor can read them. Needs the optional
-    packages onnxruntime and tokenizers.
-    """
-
-    def load():
-        import onnxruntime
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.enable_truncation(max_length)
-        tokenizer.enable_padding()
-        session = onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        wanted = {i.name for i in session.get_inputs()}
-
-        def predict(texts: list[str]) -> np.ndarray:
-            encoded = tokenizer.encode_batch(texts)
-            feed = {
-                "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-                "attention_mask": np.array([e.attention_mask for e in encoded], dtype=np.int64),
-            }
-            return session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-
-        return predict
-
-    return load
-
-
 # --- one binary classifier per label ---------------------------------------
 
 
@@ -208,12 +178,14 @@ def allowed(registry: DataFrame, names: Sequence[str] | None = None) -> DataFram
     return registry if names is None else registry.where(F.col("name").isin(*names))
 
 
-def classifier(name: str, features: int = 1000, top: int = 200, grams: int = 2) -> Pipeline:
-    """Untrained per-label pipeline: n-gram counts, best features, linear model.
+def classifier(name: str, features: int = 1 << 15, top: int = 200, grams: int = 2, rounds: int = 100) -> Pipeline:
+    """Untrained per-label pipeline: hashed n-grams, best features, linear model.
 
-    ``features`` bounds the vocabulary the driver and each task hold.
+    Every n-gram counts; ``features`` is the number of hash buckets. The words and
+    n-grams have the same column names in all labels' pipelines, so that
+    :func:`classify` makes them once.
     """
-    words, pairs, counts, best = (f"{name}_{step}" for step in ("words", "grams", "counts", "best"))
+    words, pairs, counts, best = "shared_words", f"shared_grams_{grams}", f"{name}_counts", f"{name}_best"
     selector = UnivariateFeatureSelector(
         featuresCol=counts, labelCol="label", outputCol=best, selectionMode="numTopFeatures"
     ).setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(top)
@@ -221,7 +193,7 @@ def classifier(name: str, features: int = 1000, top: int = 200, grams: int = 2)
         stages=[
             RegexTokenizer(inputCol="tokens", outputCol=words, pattern=r"\s+", toLowercase=False),
             NGram(n=grams, inputCol=words, outputCol=pairs),
-            CountVectorizer(inputCol=pairs, outputCol=counts, vocabSize=features, binary=True),
+            HashingTF(inputCol=pairs, outputCol=counts, numFeatures=features, binary=True),
             selector,
             LogisticRegression(
                 featuresCol=best,
@@ -229,7 +201,7 @@ def classifier(name: str, features: int = 1000, top: int = 200, grams: int = 2)
                 predictionCol=f"{name}_prediction",
                 rawPredictionCol=f"{name}_raw",
                 probabilityCol=f"{name}_probability",
-                maxIter=10,
+                maxIter=rounds,
                 regParam=0.01,
                 threshold=THRESHOLD,
             ),
@@ -243,12 +215,21 @@ def with_tokens(windows: DataFrame) -> DataFrame:
 
 
 def classify(windows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Every classifier scores every window: one row per (model, window)."""
+    """Every classifier scores every window: one row per (model, window).
+
+    Stages whose output an earlier model has already made (words, n-grams) are
+    not run again.
+    """
     rest = [c for c in windows.columns if c != "code"]
     scored = with_tokens(windows)
     for name, model in models.items():
-        kept = [c for c in scored.columns]
-        scored = model.transform(scored).select(*kept, F.col(f"{name}_prediction").cast("int").alias(f"{name}_prediction"))
+        kept = list(scored.columns)
+        for stage in model.stages:
+            if not (stage.hasParam("outputCol") and stage.getOutputCol() in scored.columns):
+                scored = stage.transform(scored)
+                if stage.hasParam("outputCol") and stage.getOutputCol().startswith("shared_"):
+                    kept.append(stage.getOutputCol())
+        scored = scored.select(*kept, F.col(f"{name}_prediction").cast("int").alias(f"{name}_prediction"))
     verdicts = [F.struct(F.lit(n).alias("model"), F.col(f"{n}_prediction").alias("prediction")) for n in models]
     return scored.select(*rest, F.inline(F.array(*verdicts)))
 
@@ -264,7 +245,8 @@ def model_names(spark: SparkSession, folder: str) -> DataFrame:
     Read from the pipelines' own metadata, so folders lacking a vectoriser,
     selector or model are passed over.
     """
-    lines = spark.read.option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").text(f"{folder.rstrip('/')}/*")
+    place = folder.rstrip("/")
+    lines = spark.read.option("recursiveFileLookup", "true").text([f"{place}/*/metadata", f"{place}/*/stages/*/metadata"])
     meta = lines.select(
         F.regexp_extract(F.input_file_name(), r"/([^/]+)/(?:stages/[^/]+/)?metadata/part-[^/]*$", 1).alias("name"),
         F.get_json_object("value", "$.class").alias("class"),

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import repository_name
 from ..functions.values import plain_time
-from ..operators import history, patches, results, runs
+from ..operators import catalog, history, patches, results, runs
 from ..operators.scoring import RuleScorer, classify, fan_out
 from ..operators.windows import file_lines, line_windows
 from ..schemas import FILE_TYPE, HISTORY_PAGE, PATH_LIMIT, WINDOW_GROW, WINDOW_MAX, WINDOW_MIN, WINDOW_MOVE
 from ..session import settle
+from ..sources.tables import load_snapshot, next_snapshot
 
 # min size, max size, growth, move
 Windows = tuple[int, int, int, int]
@@ -63,8 +66,10 @@ def analyze(
     windows: Windows = WINDOWS,
     by: str = "sha",
     content_complete: bool = False,
+    requested: DataFrame | None = None,
+    skip: DataFrame | None = None,
 ) -> DataFrame:
-    """One analysis run per repository in ``contributions``.
+    """One analysis run per repository in ``contributions``, or per requested one.
 
     Gives a row per file in run order with ``detected``, ``done``, ``total``,
     ``elapsed_time`` and ``error`` (null unless its scoring failed). Callers who
@@ -76,7 +81,7 @@ def analyze(
     """
     scorer = scorer or RuleScorer()
     known = results.analysed_keys(stored_results, by)
-    pending = settle(runs.pending_files(contributions, known, by, content_complete), "pending")
+    pending = settle(runs.pending_files(contributions, known, by, content_complete, requested, skip), "pending")
     scored = score_files(runs.with_text(pending, contributions), RUN_KEYS, scorer, windows)
     for name, kind in (("elapsed_time", "double"), ("error", "string")):
         if name not in scored.columns:
@@ -90,13 +95,88 @@ def saved_results(scored: DataFrame) -> DataFrame:
     return runs.with_progress(runs.before_failure(scored))
 
 
+@dataclass(frozen=True)
+class Run:
+    """What a run leaves: stored results, status-log entries, progress events."""
+
+    results: DataFrame
+    opening: DataFrame
+    later_statuses: DataFrame
+    events: DataFrame
+
+    @property
+    def statuses(self) -> DataFrame:
+        return self.opening.unionByName(self.later_statuses)
+
+
+def run_analysis(
+    contributions: DataFrame,
+    stored_results: DataFrame,
+    requested: DataFrame,
+    url: Column,
+    scorer: Callable | None = None,
+    windows: Windows = WINDOWS,
+    by: str = "sha",
+    content_complete: bool = False,
+    first_seq: int = 0,
+    opened: Callable[[DataFrame], None] | None = None,
+    clock: Callable[[], Column] = lambda: F.lit(datetime.now()),
+    skip: DataFrame | None = None,
+) -> Run:
+    """The analysis of the requested repositories (``repo_name``), scored once.
+
+    ``opened`` receives the opening status entries before any file is scored, so
+    that readers see a run that works. A repository with nothing left to score
+    is completed at once; one without contributions gets an error event and no
+    status. Status numbers start at ``first_seq``: pass the first free number of
+    the log (:func:`..sources.tables.next_seq`), and no run is ever overtaken by
+    an older one.
+    """
+    first = F.lit(first_seq).cast("bigint")
+    asked = settle(runs.requested_runs(requested, contributions), "requested")
+    working = asked.where("has_commits")
+    started = clock()
+    opening = runs.opening_status(working, started, first)
+    if opened:
+        opened(opening)
+    scored = settle(analyze(contributions, stored_results, scorer, windows, by, content_complete, working, skip), "scored")
+    saved = saved_results(scored)
+    finished = settle(runs.every_run(asked, runs.run_summary(scored)), "finished")
+    ran = finished.where("has_commits")
+    closing = runs.closing_status(ran, started, clock(), first + F.col("total") + 1)
+    later = runs.rising_status(saved, started, first).unionByName(closing)
+    events = runs.file_events(saved, url).unionByName(runs.closing_events(finished, url))
+    return Run(saved, opening, later, events)
+
+
 def run_events(scored: DataFrame, url: Column) -> DataFrame:
     """All progress events of all runs, numbered within each repository."""
-    files = runs.file_events(runs.before_failure(scored), url)
+    files = runs.file_events(saved_results(scored), url)
     closing = runs.closing_events(runs.run_summary(scored), url)
     return files.unionByName(closing)
 
 
+def edit_repositories(spark: SparkSession, folder: str, updates: DataFrame, now: Column) -> None:
+    """Applies creations and edits to the newest snapshot of the catalogue and saves the next one."""
+    next_snapshot(spark, catalog.upsert_repositories(load_snapshot(spark, folder), updates, now), folder)
+
+
+def record_status(spark: SparkSession, folder: str, status_log: DataFrame) -> None:
+    """Puts each repository's last status into the next snapshot of the catalogue."""
+    next_snapshot(spark, catalog.apply_status(load_snapshot(spark, folder), status_log), folder)
+
+
+def remove_repositories(spark: SparkSession, repositories: str, contributions: str, analysis_results: str, names: DataFrame) -> None:
+    """Saves the next snapshots of the three tables without the named repositories.
+
+    The catalogue goes last: until then a repository that is half removed is
+    still listed, and the removal can be repeated.
+    """
+    kept = catalog.delete_repositories(names, *(load_snapshot(spark, f) for f in (repositories, contributions, analysis_results)))
+    for rows, folder in list(zip(kept, (repositories, contributions, analysis_results), strict=True))[::-1]:
+        next_snapshot(spark, rows, folder)
+
+
 def history_dates(log: DataFrame, commit_patches: DataFrame, page: int = HISTORY_PAGE) -> DataFrame:
     """Commit times of the newest page touching the file type, newest first."""
     recent = history.recent_history(log, commit_patches, page)

@@ -6,15 +6,16 @@ text so that both engines print the same values.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, values
 from ..operators import catalog, history, patches, ranking, results, runs, scoring, windows
-from ..schemas import LABELS, create_tables
+from ..schemas import ANALYSIS_RESULTS, CLASSIFIER_LABELS, COMMIT_LIMIT, LABELS, NO_COMMITS, STATUS_LOG, create_tables
 from ..session import fresh_path, settle
 from ..sources import files, tables
 from ..sources.derived import derive
@@ -262,16 +263,18 @@ def f8(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def f9(spark: SparkSession, folder: str) -> DataFrame:
+    # The null test is a second use that keeps the clean-up out of the per-line lambda.
     cleaned = _changed_files(spark, folder).where(~F.col("is_root")).select(
         "repo_name", "sha", "path", "patch", text.clean(F.col("file_content"), True).alias("cleaned")
     )
-    keys = ["repo_name", "sha", "path"]
-    lines = cleaned.select(*keys, "cleaned", F.explode(text.split_lines(F.col("patch"))).alias("line"))
-    added = lines.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
-    return added.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("added"),
-        F.count_if(patches.line_accepted(F.col("line"), F.col("cleaned"))).alias("accepted"),
-    )
+    added = F.filter(patches.hunk_lines(F.col("patch")), lambda line: line.startswith("+") & ~line.startswith("+++"))
+    verdicts = F.when(F.col("cleaned").isNotNull(), F.transform(added, lambda line: patches.line_accepted(line, F.col("cleaned"))))
+    judged = cleaned.select("repo_name", "sha", "path", verdicts.alias("verdicts")).where(F.size("verdicts") > 0)
+    return judged.select(
+        "repo_name", "sha", "path",
+        F.size("verdicts").cast("bigint").alias("added"),
+        F.size(F.filter("verdicts", lambda ok: ok)).cast("bigint").alias("accepted"),
+    )
 
 
 # --- windows, folding, scoring -------------------------------------------------
@@ -372,9 +375,11 @@ def j6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def f11(spark: SparkSession, folder: str) -> DataFrame:
     wins = windows.line_windows(_lines(spark, folder), *GRIDS["6_3"]).select("seq", "code")
-    fanned = scoring.fan_out(wins, scoring.initial_models(LABELS), scoring.token_initials).withColumnRenamed("model", "name")
-    chosen = scoring.allowed(fanned, ["K2", "K3", "K27"]).withColumnRenamed("name", "model")
-    return results.any_window_per_model(chosen, ["seq"]).select("seq", "model", "detected")
+    # The list is applied to the registry's names: other models are never scored.
+    registry = spark.createDataFrame([(name,) for name in LABELS], "name string")
+    names = [row["name"] for row in scoring.allowed(registry, ["K2", "K3", "K27"]).collect()]
+    fanned = scoring.fan_out(wins, scoring.initial_models(names), scoring.token_initials)
+    return results.any_window_per_model(fanned, ["seq"]).select("seq", "model", "detected")
 
 
 WINDOW_COUNTS_SQL = (
@@ -413,20 +418,55 @@ def _trained(spark: SparkSession, folder: str) -> dict:
     }
 
 
-@query("u1_per_label_classifier")
+def _by_hand(scored: DataFrame, name: str, model) -> Column:
+    """The decision of a trained classifier from its coefficients, as a plain expression."""
+    linear = model.stages[-1]
+    weights = F.array(*[F.lit(float(w)) for w in linear.coefficients])
+    products = F.zip_with(vector_to_array(F.col(f"{name}_best")), weights, lambda x, w: x * w)
+    margin = F.aggregate(products, F.lit(float(linear.intercept)), lambda total, x: total + x)
+    return (1 / (1 + F.exp(-margin)) > linear.getThreshold()).cast("int")
+
+
+_EACH_MODEL = "cross join (select unnest(['K1', 'K2']) as model) m"
+
+
+@query(
+    "u1_per_label_classifier",
+    f"{sql.with_tables('contributions')} select seq, model, true as agrees from contributions_t {_EACH_MODEL}",
+)
 def u1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every classifier's decision on every file, beside that recomputed from its coefficients."""
+    models = _trained(spark, folder)
     wins = windows.line_windows(_lines(spark, folder)).select("seq", "code")
-    scored = scoring.classify(wins, _trained(spark, folder))
-    return results.any_window_per_model(scored, ["seq"]).select("seq", "model", "detected")
+    decided = results.any_window_per_model(scoring.classify(wins, models), ["seq"])
+    vectors = scoring.with_tokens(wins)
+    for name, model in models.items():
+        for stage in model.stages[:-1]:
+            if stage.getOutputCol() not in vectors.columns:
+                vectors = stage.transform(vectors)
+    own = F.array(*[F.struct(F.lit(n).alias("model"), _by_hand(vectors, n, m).alias("prediction")) for n, m in models.items()])
+    again = results.any_window_per_model(vectors.select("seq", F.inline(own)), ["seq"]).withColumnRenamed("detected", "again")
+    return decided.join(again, ["seq", "model"]).select("seq", "model", F.col("detected").eqNullSafe(F.col("again")).alias("agrees"))
 
 
-@query("u3_model_registry")
+@query(
+    "u3_model_registry",
+    f"{sql.with_tables('contributions')} select seq, model, true as same, model = 'K2' as listed from contributions_t {_EACH_MODEL}",
+)
 def u3(spark: SparkSession, folder: str) -> DataFrame:
-    place = fresh_path(spark, "models")
-    scoring.save_models(_trained(spark, folder), place)
-    models = scoring.load_models(spark, place, ["K2"])
+    """Saved classifiers decide as before saving; the allow-list loads only what it names."""
+    place, models = fresh_path(spark, "models"), _trained(spark, folder)
+    scoring.save_models(models, place)
+    loaded, listed = scoring.load_models(spark, place), scoring.load_models(spark, place, ["K2", "absent"])
     wins = windows.line_windows(_lines(spark, folder)).select("seq", "code")
-    return results.any_window_per_model(scoring.classify(wins, models), ["seq"]).select("seq", "model", "detected")
+
+    def decisions(chosen: dict, name: str) -> DataFrame:
+        return results.any_window_per_model(scoring.classify(wins, chosen), ["seq"]).withColumnRenamed("detected", name)
+
+    joined_ = decisions(models, "before").join(decisions(loaded, "after"), ["seq", "model"])
+    joined_ = joined_.join(decisions(listed, "chosen"), ["seq", "model"], "left")
+    same = F.col("before").eqNullSafe(F.col("after")) & F.coalesce(F.col("chosen") == F.col("before"), F.lit(True))
+    return joined_.select("seq", "model", same.alias("same"), F.col("chosen").isNotNull().alias("listed"))
 
 
 # --- commit history ---------------------------------------------------------
@@ -549,15 +589,14 @@ def p4(spark: SparkSession, folder: str) -> DataFrame:
     return _contribution_rows(_extracted(spark, folder, stored=True))
 
 
-@query("q1_contributions", _extract_sql(CONTRIBUTION_SQL, limit=50, stored=True))
+@query("q1_contributions", _extract_sql(CONTRIBUTION_SQL, limit=COMMIT_LIMIT, stored=True))
 def q1(spark: SparkSession, folder: str) -> DataFrame:
-    return _contribution_rows(_extracted(spark, folder, limit=50, stored=True))
+    return _contribution_rows(_extracted(spark, folder, limit=COMMIT_LIMIT, stored=True))
 
 
 STORED_SQL = _extract_sql(
     "select repo_name, sha, author, committed_at as timestamp, temp_filepath, file_content, changed_lines, "
-    "row_number() over (partition by repo_name order by ordinal, path) as position from changed",
-    limit=50,
+    "row_number() over (partition by repo_name order by ordinal, path) as position from changed"
 )
 
 
@@ -572,7 +611,7 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
 @query("s7_append_contributions", STORED_SQL)
 def s7(spark: SparkSession, folder: str) -> DataFrame:
     place = fresh_path(spark, "contributions")
-    tables.append_contributions(_extracted(spark, folder, limit=50), place)
+    tables.append_contributions(_extracted(spark, folder), place)
     return _stored_rows(tables.load_table(spark, place))
 
 
@@ -580,8 +619,8 @@ def s7(spark: SparkSession, folder: str) -> DataFrame:
 def p4_stream(spark: SparkSession, folder: str) -> DataFrame:
     log_place, place = fresh_path(spark, "log"), fresh_path(spark, "contributions")
     log = _commits(spark, folder)
-    log.repartition(3, "repo_name").write.parquet(log_place)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(log_place)
+    log.repartition("sha").write.option("maxRecordsPerFile", 10_000).parquet(log_place)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(log_place)
     lasting = []
     for name in ("commit_files", "commit_patches"):
         # Partitioned by repository, so that a batch reads its repositories only.
@@ -620,6 +659,20 @@ def _upsert(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.upsert_repositories(derive(spark, folder, "repositories"), derive(spark, folder, "repository_updates"), now())
 
 
+def _snapshots(spark: SparkSession, folder: str, name: str, version: int = 1) -> str:
+    """A table's first snapshot, as an earlier job would have left it."""
+    place = fresh_path(spark, f"snapshots-{name}")
+    tables.save_snapshot(derive(spark, folder, name), place, version)
+    return place
+
+
+@query("m1_upsert_job", UPSERT_SQL)
+def m1_job(spark: SparkSession, folder: str) -> DataFrame:
+    place = _snapshots(spark, folder, "repositories")
+    jobs.edit_repositories(spark, place, derive(spark, folder, "repository_updates"), now())
+    return tables.load_snapshot(spark, place)
+
+
 query("m1_upsert_repositories", UPSERT_SQL)(_upsert)
 query("q2_create_or_edit_repository", UPSERT_SQL)(_upsert)
 
@@ -631,7 +684,10 @@ union all select 'analysis_results', repo_name, count(*) from analysis_results_t
 
 def _delete(spark: SparkSession, folder: str) -> DataFrame:
     names = ("repositories", "contributions", "analysis_results")
-    left = catalog.delete_repositories(derive(spark, folder, "deleted_names"), *[derive(spark, folder, n) for n in names])
+    return _kept(names, catalog.delete_repositories(derive(spark, folder, "deleted_names"), *[derive(spark, folder, n) for n in names]))
+
+
+def _kept(names: tuple[str, ...], left: Sequence[DataFrame]) -> DataFrame:
     out = None
     for name, frame in zip(names, left, strict=True):
         repo = "name" if name == "repositories" else "repo_name"
@@ -665,6 +721,21 @@ def m3(spark: SparkSession, folder: str) -> DataFrame:
     return merged.drop("description", "comments", "created_at", "updated_at")
 
 
+@query("m2_delete_job", DELETE_SQL)
+def m2_job(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("repositories", "contributions", "analysis_results")
+    places = [_snapshots(spark, folder, name, 3) for name in names]
+    jobs.remove_repositories(spark, *places, derive(spark, folder, "deleted_names"))
+    return _kept(names, [tables.load_snapshot(spark, place) for place in places])
+
+
+@query("m3_status_job", CHECKS["m3_apply_status"])
+def m3_job(spark: SparkSession, folder: str) -> DataFrame:
+    place = _snapshots(spark, folder, "repositories")
+    jobs.record_status(spark, place, derive(spark, folder, "status_log"))
+    return tables.load_snapshot(spark, place).drop("description", "comments", "created_at", "updated_at")
+
+
 _STATUS_ROWS = f"name, status, {sql.iso_or_null('start_time')} as start_time, {sql.iso_or_null('end_time')} as end_time, progress, error_message"
 
 
@@ -872,36 +943,61 @@ def a5(spark: SparkSession, folder: str) -> DataFrame:
     return runs.with_progress(_pending(spark, folder)).select("repo_name", "filename", "done", "total", "progress")
 
 
+# A model that cannot read one word: the window that holds it fails, and with it the file and its run.
+UNREADABLE = "worthless"
 FAILING_SQL = f"""{_PENDING_SQL},
-marked as (select *, case when length(file_content) > 4000 then concat('too long: ', filename) end as error from pending),
-cut as (select *, min(case when error is not null then run_order end) over (partition by repo_name) as failed_at from marked)"""
+{sql.windows_cte('lined', 'seq', *GRIDS['35_25'])},
+broken as (select distinct seq from windows where contains({sql.normalise('code')}, '{UNREADABLE}')),
+marked as (select p.*, case when b.seq is not null then 'cannot read {UNREADABLE}' end as error from pending p left join broken b on b.seq = p.seq),
+cut as (select *, min(case when error is not null then run_order end) over (partition by repo_name) as failed_at from marked),
+kept as (select * from cut where failed_at is null or run_order < failed_at),
+asked as (select name as repo_name, exists (select 1 from contributions_t c where c.repo_name = r.name) as has_commits from repositories_t r),
+finished as (
+  select a.repo_name, a.has_commits, coalesce(max(c.total), 0) as total, min(case when c.error is not null then c.done end) as failed_done,
+    min_by(c.error, c.run_order) filter (where c.error is not null) as error
+  from asked a left join cut c on c.repo_name = a.repo_name group by a.repo_name, a.has_commits)"""
+FAILING_SQL = FAILING_SQL.replace(sql.with_tables("contributions", "analysis_results"), sql.with_tables("contributions", "analysis_results", "repositories"))
+
+
+def failing_model() -> Callable[[], Callable]:
+    def load():
+        score = scoring.rule_model()()
+
+        def predict(texts):
+            if any(UNREADABLE in text_ for text_ in texts):
+                raise ValueError(f"cannot read {UNREADABLE}")
+            return score(texts)
+
+        return predict
+
+    return load
+
+
+def _run(spark: SparkSession, folder: str, scorer: Callable | None = None, **options) -> jobs.Run:
+    """The whole analysis of all catalogued repositories."""
+    return jobs.run_analysis(
+        derive(spark, folder, "contributions"), derive(spark, folder, "analysis_results"),
+        derive(spark, folder, "repositories").select(F.col("name").alias("repo_name")), repo_url(), scorer, GRIDS["35_25"], clock=now, **options,
+    )
 
 
-def _failing(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs whose scoring fails for texts over 4000 characters."""
-    with_text = runs.with_text(_pending(spark, folder), derive(spark, folder, "contributions"))
-    too_long = F.when(F.length("file_content") > 4000, F.concat(F.lit("too long: "), F.col("filename")))
-    return with_text.withColumn("error", too_long).drop("file_content")
+def _failing(spark: SparkSession, folder: str) -> jobs.Run:
+    return _run(spark, folder, scoring.ArrowScorer(failing_model()), first_seq=1)
 
 
-@query(
-    "a6_first_error_cutoff",
-    f"{FAILING_SQL} select repo_name, filename, seq from cut where failed_at is null or run_order < failed_at",
-)
+@query("a6_first_error_cutoff", f"{FAILING_SQL} select repo_name, filename, seq from kept")
 def a6(spark: SparkSession, folder: str) -> DataFrame:
-    return runs.before_failure(_failing(spark, folder)).select("repo_name", "filename", "seq")
+    return _failing(spark, folder).results.select("repo_name", "filename", "seq")
 
 
-@query(
-    "a6_run_status",
-    f"""{FAILING_SQL},
-run as (select repo_name, min(case when error is not null then done end) as failed_done, min_by(error, run_order) filter (where error is not null) as message from cut group by repo_name)
-select repo_name, cast(1 as bigint) as seq, 'in-progress' as status, timestamp '{NOW}' as start_time, cast(null as timestamp) as end_time, cast(0 as int) as progress, cast(null as varchar) as error_message from run
-union all select repo_name, 2, case when failed_done is null then 'completed' else 'error' end, timestamp '{NOW}', timestamp '{NOW}', case when failed_done is null then 100 end, message from run""",
-)
+STATUS_SQL = f"""select repo_name, cast(1 as bigint) as seq, 'in-progress' as status, timestamp '{NOW}' as start_time, cast(null as timestamp) as end_time, cast(0 as int) as progress, cast(null as varchar) as error_message from finished where has_commits
+union all select repo_name, 1 + done, 'in-progress', timestamp '{NOW}', null, cast(trunc(done / total * 100) as int), null from kept
+union all select repo_name, 2 + total, case when error is null then 'completed' else 'error' end, timestamp '{NOW}', timestamp '{NOW}', case when error is null then 100 end, error from finished where has_commits"""
+
+
+@query("a6_run_status", f"{FAILING_SQL} {STATUS_SQL}")
 def a6_status(spark: SparkSession, folder: str) -> DataFrame:
-    summary = runs.run_summary(_failing(spark, folder))
-    return runs.status_rows(summary, now(), now(), F.lit(1).cast("bigint"))
+    return _failing(spark, folder).statuses
 
 
 RUN_ROW = f"repo_name, filename, author, {sql.iso_or_null('timestamp')} as timestamp, sha, detected, progress"
@@ -929,13 +1025,13 @@ for _grid in GRIDS:
 def p1_stream(spark: SparkSession, folder: str) -> DataFrame:
     source, place = fresh_path(spark, "contributions"), fresh_path(spark, "results")
     contributions = derive(spark, folder, "contributions")
-    # One batch per file; a commit and its colliding names stay in one batch.
-    contributions.repartition(3, "repo_name").sortWithinPartitions("seq").write.parquet(source)
+    # Files of about equal size: commits and colliding names spread over many batches.
+    contributions.repartition("seq").write.option("maxRecordsPerFile", 10_000).parquet(source)
     analysed = fresh_path(spark, "analysed")
     tables.append_results(derive(spark, folder, "analysis_results"), analysed)
-    stream = spark.readStream.schema(contributions.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(contributions.schema).option("maxFilesPerTrigger", 3).parquet(source)
     streams.stream_analysis(stream, place, fresh_path(spark, "stream-state"), earlier=analysed)
-    stored = streams.read_batches(spark, place)
+    stored = streams.stream_results(spark, place)
     return stored.select(
         "repo_name", "filename", "author", values.iso(F.col("timestamp")).alias("timestamp"), "sha",
         values.encode_map(F.col("detected")).alias("detected"),
@@ -963,12 +1059,12 @@ def p2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "p2_error_events",
-    f"""{FAILING_SQL} select repo_name, done as event_order, concat(chr(123), '"error":"', error, '","repoUrl":"', {_URL}, '"', chr(125)) as event
-from cut where run_order = failed_at""",
+    f"""{FAILING_SQL} select repo_name, coalesce(failed_done, total + 1) as event_order, concat(chr(123), '"error":"', coalesce(error, '{NO_COMMITS}'), '","repoUrl":"', {_URL}, '"', chr(125)) as event
+from finished where error is not null or not has_commits""",
 )
 def p2_errors(spark: SparkSession, folder: str) -> DataFrame:
-    stopped = runs.run_summary(_failing(spark, folder)).where(F.col("error").isNotNull())
-    return runs.closing_events(stopped, repo_url())
+    events = _failing(spark, folder).events
+    return events.where(F.get_json_object("event", "$.error").isNotNull())
 
 
 @query(
@@ -980,47 +1076,96 @@ def p3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("repo_name", "filename", (F.col("elapsed_time") > 0).alias("measured"))
 
 
-@query("q8_analyze", sql.analysis_sql(*GRIDS["35_25"], f"select {RUN_ROW}, done, total from saved"))
+_FILE_EVENT = f"""concat(chr(123), '"progress":', progress, ',"file_data":', chr(123),
+  '"filename":"', filename, '","author":"', author, '","timestamp":"', {sql.iso('timestamp')}, '","sha":"', sha, '","detected_kus":', detected,
+  ',"elapsed_time":0.0,"repoUrl":"', {_URL}, '"', chr(125), ',"repoUrl":"', {_URL}, '"', chr(125))"""
+Q8_SQL = sql.analysis_sql(
+    *GRIDS["35_25"],
+    f"""select 'result' as kind, repo_name, cast(done as bigint) as place, concat_ws('|', filename, author, {sql.iso_or_null('timestamp')}, sha, detected, cast(progress as varchar)) as body from saved
+union all select 'status', repo_name, seq, concat_ws('|', status, {sql.iso_or_null('start_time')}, {sql.iso_or_null('end_time')}, cast(progress as varchar), error_message) from statuses
+union all select 'event', repo_name, done, {_FILE_EVENT} from saved
+union all select 'event', repo_name, total + 1, case when has_commits then concat(chr(123), '"progress":100,"message":"Analysis completed","repoUrl":"', {_URL}, '"', chr(125))
+  else concat(chr(123), '"error":"{NO_COMMITS}","repoUrl":"', {_URL}, '"', chr(125)) end from finished""",
+).replace(sql.with_tables("contributions", "analysis_results"), sql.with_tables("contributions", "analysis_results", "repositories"))
+Q8_SQL = Q8_SQL.replace(
+    "\nselect 'result' as kind",
+    f""",
+asked as (select name as repo_name, exists (select 1 from contributions_t c where c.repo_name = r.name) as has_commits from repositories_t r),
+finished as (
+  select a.repo_name, a.has_commits, coalesce(max(s.total), 0) as total, cast(null as varchar) as error
+  from asked a left join saved s on s.repo_name = a.repo_name group by a.repo_name, a.has_commits),
+kept as (select * from saved where repo_name in (select repo_name from asked)),
+statuses as ({STATUS_SQL})
+select 'result' as kind""",
+)
+
+
+@query("q8_analyze", Q8_SQL)
 def q8(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _analysis(spark, folder)
-    saved = jobs.saved_results(scored)
-    return saved.select(
-        "repo_name", "filename", "author", values.iso(F.col("timestamp")).alias("timestamp"), "sha",
-        values.encode_map(F.col("detected")).alias("detected"), "progress", "done", "total",
+    """All that an analysis leaves: stored results, status-log entries and events."""
+    place, log = fresh_path(spark, "results"), fresh_path(spark, "status-log")
+    run = _run(spark, folder, first_seq=1, opened=lambda rows: rows.write.parquet(log))
+    tables.append_results(run.results, place)
+    run.later_statuses.write.mode("append").parquet(log)
+    stored = tables.load_table(spark, place, ANALYSIS_RESULTS)
+    done = run.results.select("seq", "repo_name", "done", "progress")
+    saved = stored.join(done, ["seq", "repo_name"]).select(
+        F.lit("result").alias("kind"), "repo_name", F.col("done").cast("bigint").alias("place"),
+        F.concat_ws("|", "filename", "author", values.iso(F.col("timestamp")), "sha", values.encode_map(F.col("detected")), F.col("progress").cast("string")).alias("body"),
+    )
+    statuses = tables.load_table(spark, log, STATUS_LOG).select(
+        F.lit("status").alias("kind"), "repo_name", F.col("seq").alias("place"),
+        F.concat_ws("|", "status", values.iso(F.col("start_time")), values.iso(F.col("end_time")), F.col("progress").cast("string"), "error_message").alias("body"),
     )
+    events = run.events.select(F.lit("event").alias("kind"), "repo_name", F.col("event_order").alias("place"), F.col("event").alias("body"))
+    return saved.unionByName(statuses).unionByName(events)
 
 
 # --- folders of files ---------------------------------------------------------------
 
 
 def _document_folder(spark: SparkSession, folder: str) -> str:
-    """Each document as a text file of its own, written by Spark."""
+    """Each document as a text file of its own, in a folder named after its number."""
     place = fresh_path(spark, "sources")
-    documents = derive(spark, folder, "contributions").select("file_content")
-    documents.repartition("file_content").write.option("maxRecordsPerFile", 1).text(place)
-    return place
+    documents = derive(spark, folder, "contributions").select("file_content", "seq")
+    documents.repartition("seq").write.partitionBy("seq").text(place)
+    return f"{place}/seq=*"
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("seq", F.regexp_extract("filename", "seq=([0-9]+)/", 1).cast("bigint"))
+
+
+FILE_SQL = "replace(replace(concat(file_content, chr(10)), concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"
 
 
 @query(
     "s1_directory_scan",
-    f"{sql.with_tables('contributions')} select replace(replace(concat(file_content, chr(10)), concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) as file_content, "
+    f"{sql.with_tables('contributions')} select seq, {FILE_SQL} as file_content, true as named, "
     "cast(null as varchar) as author, cast(null as timestamp) as timestamp, cast(null as varchar) as sha from contributions_t",
 )
 def s1(spark: SparkSession, folder: str) -> DataFrame:
-    return files.read_directory(spark, _document_folder(spark, folder), "txt").drop("filename")
+    found = _numbered(files.read_directory(spark, _document_folder(spark, folder), "txt", folders=1))
+    named = F.col("filename").rlike(r"^seq=[0-9]+/[^/]+\.txt$")
+    return found.select("seq", "file_content", named.alias("named"), "author", "timestamp", "sha")
 
 
 Q12_SQL = f"""{sql.with_tables('contributions')},
-lined as (select seq, {sql.significant(sql.clean("replace(replace(concat(file_content, chr(10)), concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"))} as lines from contributions_t),
+lined as (select seq, {sql.significant(sql.clean(FILE_SQL))} as lines from contributions_t),
 {sql.windows_cte('lined', 'seq', 35, 35, 1, 25)},
 {sql.fired_cte('seq')}
-select {', '.join(f"cast(max(case when d.k = {(int(k[1:]) - 1) % 27 + 1} then 1 else 0 end) as int) as {k}" for k in ("K2", "K3", "K4", "K20", "K27"))}
+select l.seq, {', '.join(f"cast(max(case when d.k = {(int(k[1:]) - 1) % 27 + 1} then 1 else 0 end) as int) as {k}" for k in CLASSIFIER_LABELS)}
 from lined l left join fired d on d.seq = l.seq group by l.seq"""
 
 
 @query("q12_score_directory", Q12_SQL)
 def q12(spark: SparkSession, folder: str) -> DataFrame:
-    found = files.read_directory(spark, _document_folder(spark, folder), "txt")
-    labels = ["K2", "K3", "K4", "K20", "K27"]
-    per_model = jobs.score_per_label(found, scoring.initial_models(labels), prepare=scoring.token_initials)
-    return results.wide_labels(jobs.label_table(per_model, found, labels), labels).select(*labels)
+    """A folder of sources scored by every label's model, exported as wide CSV and read back."""
+    found = files.read_directory(spark, _document_folder(spark, folder), "txt", folders=1)
+    registry = spark.createDataFrame([(name,) for name in CLASSIFIER_LABELS], "name string")
+    names = [row["name"] for row in scoring.allowed(registry).collect()]
+    per_model = jobs.score_per_label(found, scoring.initial_models(names), prepare=scoring.token_initials)
+    place = fresh_path(spark, "export")
+    files.export_csv(jobs.label_table(per_model, found, CLASSIFIER_LABELS), place)
+    wide = spark.read.option("header", True).schema(f"filename string, author string, timestamp string, sha string, {', '.join(f'{k} int' for k in CLASSIFIER_LABELS)}").csv(place)
+    return _numbered(wide).select("seq", *CLASSIFIER_LABELS)

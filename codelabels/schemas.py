@@ -22,6 +22,7 @@ STATUS_RUNNING = "in-progress"
 STATUS_DONE = "completed"
 STATUS_ERROR = "error"
 DONE_MESSAGE = "Analysis completed"
+NO_COMMITS = "No commits found for the repository"
 
 LABELS = [f"K{i}" for i in range(1, LABEL_COUNT + 1)]
 # The per-label classifiers cover K2..K28 except K5 and K26.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +30,33 @@ def build_session(app: str = "codelabels", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+_INNER: ContextVar[str | None] = ContextVar("scratch", default=None)
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local path would vanish with its executor.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, or else one in the warehouse, which is shared as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="codelabels-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_INNER.get() or shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """Keeps what is settled inside in a folder that is deleted at the end.
+
+    For jobs that write their results before they end, such as stream batches.
+    """
+    folder = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    token = _INNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _INNER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:

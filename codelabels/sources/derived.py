@@ -112,7 +112,7 @@ select name,
   cast(null as <ntz>) as analysis_end_time,
   cast(case when k % 4 = 0 then k % 100 end as int) as analysis_progress,
   cast(null as string) as analysis_error_message
-from (select source as name, min(doc_id) as k from {{documents}} where source <> 'src3' group by source
+from (select source as name, min(doc_id) as k from {{documents}} group by source
       union all select concat('repo', cast(c_custkey as string)), c_custkey from {{customer}}) r
 """,
     ),
@@ -140,7 +140,7 @@ select d.doc_id as seq,
   md5(concat(d.source, '/', cast(cast(floor(d.doc_id / 60) as bigint) as string))) as sha,
   <labels> as detected,
   cast(0 as double) as elapsed_time,
-  d.source as repo_name
+  case when d.doc_id % 11 = 5 then 'unlisted' else d.source end as repo_name
 from {{documents}} d join {{labels}} b on d.doc_id = b.doc_id
 where b.toxic = 1 or b.quality = 0
 """,

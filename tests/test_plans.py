@@ -7,9 +7,10 @@ from contextlib import contextmanager
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from codelabels.operators import history, results, runs
+from codelabels.operators import catalog, history, patches, results, runs
 from codelabels.plans import jobs
 from codelabels.plans.registry import CHECKS, QUERIES
 from codelabels.session import settle
@@ -17,7 +18,7 @@ from codelabels.schemas import ANALYSIS_RESULTS, CONTRIBUTIONS, REPOSITORIES
 
 WHEN = datetime(2024, 1, 1)
 # These write tables or fit models while they are being built.
-EAGER = re.compile(r"^(u1|u3|l3_older_history_branching|s1|s7|s8|s9|s11|q12|p1_analysis_streaming|p4_extract_streaming)")
+EAGER = re.compile(r"^(u1|u3|l3_older_history_branching|s1|s7|s8|s9|s11|q12|p1_analysis_streaming|p4_extract_streaming|m._[a-z]+_job|a6|p2_error|q8)")
 
 
 @contextmanager
@@ -131,6 +132,50 @@ def test_hot_keys_are_split(spark, stored):
         assert len(rows) == 1999 and split
 
 
+def test_hot_keys_of_extraction_deletion_and_failure_are_split(spark, stored):
+    contributions, _ = stored
+    with settings(spark, **SKEW):
+        diffs = contributions.select(
+            F.lit("r").alias("repo_name"), F.when(F.col("seq") % 3 == 0, F.concat(F.lit("s"), "seq")).otherwise("hot").alias("sha"),
+            F.concat(F.lit("p"), "seq", F.lit(".java")).alias("a_path"), F.lit("").alias("b_path"), F.lit("x").alias("patch"),
+        )
+        commits = diffs.select("repo_name", "sha").distinct().withColumn("ordinal", F.lit(1))
+        with planned_joins(spark) as joins:
+            wanted = patches.wanted_files(settle(commits, "commits"), diffs)
+        assert any("skew=true" in text for text in joins) and wanted.count() == 3000
+
+        repos = contributions.select(F.col("repo_name").alias("name")).distinct()
+        names = settle(repos.where("name in ('hot', 'r3')").unionAll(repos.where("name = 'r3'")), "names")
+        rows, split = split_joins(catalog.delete_repositories(names, repos, contributions, contributions)[1])
+        assert len(rows) == 999 and split
+
+        scored = contributions.select(
+            "repo_name", "seq", F.col("seq").alias("run_order"), "author", "file_content",
+            F.when(F.col("seq") % 1000 == 998, "bad").alias("error"),
+        )
+        rows, split = split_joins(runs.before_failure(scored))
+        assert split and not [r for r in rows if r["repo_name"] == "hot" and r["seq"] >= 998]
+
+
+@contextmanager
+def planned_joins(spark):
+    """Final plans of what is written inside."""
+    seen, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        write(self, path, *args, **options)
+        frame = self._df
+        frame.write.format("noop").mode("overwrite").save()
+        frame.collect()
+        seen.append(plan(frame))
+
+    DataFrameWriter.parquet = parquet
+    try:
+        yield seen
+    finally:
+        DataFrameWriter.parquet = write
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if not EAGER.match(n)])
 def test_no_query_pairs_everything(spark, name):
     text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
@@ -138,5 +183,4 @@ def test_no_query_pairs_everything(spark, name):
 
 
 def test_registry_and_checks_agree():
-    assert set(CHECKS) <= set(QUERIES)
-    assert set(QUERIES) - set(CHECKS) == {"u1_per_label_classifier", "u3_model_registry"}
+    assert set(CHECKS) == set(QUERIES)

@@ -112,6 +112,23 @@ def test_first_error_ends_the_run(spark):
     }
 
 
+def test_runs_with_nothing_to_do(spark):
+    rows = contributions(spark, [contribution(1, "/t/a.java", "s"), contribution(2, "/t/b.java", "old", repo="q"), contribution(3, "/t/c.java", "t", repo="other")])
+    asked = spark.createDataFrame([("r",), ("q",), ("none",), ("r",), (None,)], "repo_name string")
+    seen, at = [], F.lit(WHEN).cast("timestamp_ntz")
+    run = jobs.run_analysis(
+        rows, no_results(spark, [result(1, "old")]), asked, F.col("repo_name"), first_seq=5, clock=lambda: at,
+        opened=lambda rows: seen.extend((r["repo_name"], r["seq"], r["status"], r["progress"]) for r in rows.collect()),
+    )
+    assert sorted(seen) == [("q", 5, "in-progress", 0), ("r", 5, "in-progress", 0)]
+    assert [(r["repo_name"], r["filename"]) for r in run.results.collect()] == [("r", "a")]
+    later = {(r["repo_name"], r["seq"]): (r["status"], r["progress"]) for r in run.later_statuses.collect()}
+    assert later == {("r", 6): ("in-progress", 100), ("r", 7): ("completed", 100), ("q", 6): ("completed", 100)}
+    events = {(r["repo_name"], r["event_order"]): json.loads(r["event"]) for r in run.events.collect()}
+    assert events["q", 1]["message"] == "Analysis completed" and events["r", 2]["progress"] == 100
+    assert events["none", 1] == {"error": "No commits found for the repository", "repoUrl": "none"} and len(events) == 4
+
+
 def test_arrow_scorer_equals_rule_scorer(spark):
     rows = [(i, " ".join(np.random.default_rng(i).choice(list("abcdef$_9 Z;"), 80))) for i in range(60)] + [(99, None), (100, "")]
     frame = spark.createDataFrame(rows, "id int, code string")

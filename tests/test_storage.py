@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.ml import Pipeline
@@ -13,7 +14,7 @@ from codelabels.plans import jobs
 from codelabels.schemas import ANALYSIS_RESULTS, COMMIT_FILES, COMMIT_PATCHES, COMMITS_LOG, CONTRIBUTIONS, STATUS_LOG, create_tables
 from codelabels.session import shared_folder
 from codelabels.sources import files, tables
-from codelabels.streaming.jobs import read_batches, stream_analysis, stream_contributions
+from codelabels.streaming.jobs import read_batches, stream_analysis, stream_contributions, stream_results
 
 WHEN = datetime(2024, 1, 2, 3, 4, 5, 120)
 WORDS = "apple avocado ant arm axe air ale ash;"
@@ -118,6 +119,42 @@ def test_streamed_analysis_equals_batch_and_reruns_add_nothing(spark, tmp_path):
     assert key(read_batches(spark, place)) == wanted
 
 
+def test_a_commit_may_span_batches(spark, tmp_path):
+    """Six files of one commit in three batches, and a name that collides over batches."""
+    rows = [(i, "d", WORDS, [1], f"/t/f{i % 5}.java", WHEN, "s", "r") for i in range(6)]
+    rows = spark.createDataFrame([*rows, (6, "d", "int x;", [1], "/t/f0.java", WHEN, "known", "r")], CONTRIBUTIONS)
+    source, place, statuses, earlier = (str(tmp_path / x) for x in ("in", "out", "statuses", "earlier"))
+    spark.createDataFrame([(0, "x", "d", WHEN, "known", {"K1": 1}, 0.0, "q")], ANALYSIS_RESULTS).write.parquet(earlier)
+    for low in (0, 2, 4):
+        rows.where(F.col("seq").between(low, low + (2 if low == 4 else 1))).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CONTRIBUTIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_analysis(stream, place, str(tmp_path / "state"), earlier=earlier, statuses=statuses)
+    found = sorted((r["filename"], r["seq"]) for r in stream_results(spark, place).collect())
+    known = spark.read.parquet(earlier)
+    batch = jobs.saved_results(jobs.analyze(rows, known))
+    assert found == sorted((r["filename"], r["seq"]) for r in batch.collect()) == [("f0", 5), *((f"f{i}", i) for i in range(1, 5))]
+    # A batch leaves nothing behind, and its status numbers follow those before it.
+    assert not list(Path(shared_folder(spark)).glob("analysis-*"))
+    log = lambda: spark.read.schema(STATUS_LOG).parquet(statuses)
+    numbers = [r["seq"] for r in log().collect()]
+    assert len(set(numbers)) == len(numbers) == 3 + 6 + 3
+    # Another stream with nothing left to do: its entry is the newest and says so.
+    stream_analysis(stream, place, str(tmp_path / "state2"), statuses=statuses)
+    last = log().orderBy(F.desc("seq")).first()
+    assert (last["status"], last["progress"]) == ("completed", 100) and last["seq"] > max(numbers)
+    assert sorted((r["filename"], r["seq"]) for r in stream_results(spark, place).collect()) == found
+
+
+def test_newest_finished_snapshot(spark, tmp_path):
+    place = str(tmp_path / "repos")
+    with pytest.raises(ValueError, match="no finished snapshot"):
+        tables.load_snapshot(spark, place)
+    assert tables.next_snapshot(spark, spark.range(1), place).endswith("version=00000001")
+    tables.next_snapshot(spark, spark.range(2), place)
+    spark.range(9).write.parquet(f"{place}/version=00000003")
+    assert tables.load_snapshot(spark, place).count() == 2 and tables.load_snapshot(spark, place, 1).count() == 1
+
+
 def test_streamed_extraction_equals_batch(spark, tmp_path):
     log = [("r", f"c{i}", "dev", WHEN, [] if i == 9 else [f"c{i + 1}"], i) for i in range(10)]
     code = "class A {\n  int a;\n}\n"
