@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import has_type, relevant_path
 from ..schemas import ACTIVE_DAYS, FILE_TYPE, HISTORY_PAGE
-from ..session import settle
+from ..session import fresh_path, settle
 from .ranking import first_within
 
 COMMIT = ["repo_name", "sha"]
@@ -38,8 +38,12 @@ def touching(log: DataFrame, patches: DataFrame, file_type: str = FILE_TYPE) ->
 
 
 def recent_history(log: DataFrame, patches: DataFrame, page: int = HISTORY_PAGE) -> DataFrame:
-    """The newest page, then only commits touching the file type."""
-    return touching(newest_commits(log, page), patches)
+    """The newest page, then only commits touching the file type.
+
+    The page is settled: patches are filtered by its few commits where they lie.
+    """
+    chosen = settle(newest_commits(log, page), "page")
+    return touching(chosen, patches.join(chosen.select(*COMMIT), COMMIT, "left_semi"))
 
 
 def older_than(log: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -71,9 +75,12 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     form chains, so tables of 1, 2, 4, ... steps are built by joining each with
     itself; applying them in turn follows a chain of any length in a logarithmic
     number of joins. Other parents of commits found so start the next round, and
-    there are as many rounds as merges nest.
+    there are as many rounds as merges nest. Only the cursors' repositories take
+    part, and one growing table holds what has been reached.
     """
-    edges = log.select("repo_name", "sha", F.posexplode("parent_shas").alias("rank", "parent"))
+    spark = log.sparkSession
+    repos = settle(cursors.select("repo_name").distinct(), "cursor-repositories")
+    edges = log.join(repos, "repo_name", "left_semi").select("repo_name", "sha", F.posexplode("parent_shas").alias("rank", "parent"))
     edges = settle(edges.where(F.col("repo_name").isNotNull()), "edges")
     first = edges.where("rank = 0").select(*COMMIT, "parent")
     others = edges.where("rank > 0").select(*COMMIT, "parent")
@@ -95,23 +102,15 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
         both = F.explode(F.array_compact(F.array("sha", "parent")))
         return found.join(edge, COMMIT, "left").select("repo_name", both.alias("sha")).distinct()
 
-    rounds: list[DataFrame] = []
-
-    def unseen(found: DataFrame) -> DataFrame:
-        for earlier in rounds:
-            found = found.join(earlier, COMMIT, "left_anti")
-        return found
-
     frontier = follow(cursors.select(*COMMIT), first)
+    visited = fresh_path(spark, "visited")
+    reached = settle(frontier.where("false"), "reached")
     while True:
         for table in jumps:
             frontier = stay_or_step(frontier, table)
-        frontier = settle(unseen(frontier), "reached")
+        frontier = settle(frontier.join(reached, COMMIT, "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-        frontier = unseen(follow(frontier, others).distinct())
-    reached = frontier
-    for found in rounds:
-        reached = reached.union(found)
-    return log.join(reached, COMMIT, "left_semi")
+            return log.join(reached, COMMIT, "left_semi")
+        frontier.write.mode("append").parquet(visited)
+        reached = spark.read.schema(frontier.schema).parquet(visited)
+        frontier = follow(frontier, others).distinct().join(reached, COMMIT, "left_anti")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 16
-# Above this Spark no longer cuts ranks off before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_CUT = 1000
+# Above this number Spark no longer cuts ranks off before the shuffle.
+EARLY_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def number_within(
@@ -44,7 +43,7 @@ def first_within(df: DataFrame, group: str, order: str, count: int | None, skip:
     if count is None and not skip:
         return df
     last = None if count is None else skip + count
-    if last is not None and last <= EARLY_CUT:
+    if last is not None and last <= int(df.sparkSession.conf.get(EARLY_CUT, "1000")):
         # Catalyst plans WindowGroupLimit: every map task keeps at most `last`
         # rows per group, so a hot group never travels whole.
         ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(order)))

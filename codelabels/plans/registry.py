@@ -698,7 +698,17 @@ def _kept(names: tuple[str, ...], left: Sequence[DataFrame]) -> DataFrame:
 
 
 query("m2_delete_repositories", DELETE_SQL)(_delete)
-query("q6_delete_repository", DELETE_SQL)(_delete)
+
+
+@query("q6_delete_repository", DELETE_SQL.replace("(select name from deleted_names_t)", f"('{REPO}')"))
+def q6(spark: SparkSession, folder: str) -> DataFrame:
+    """One repository removed from all three tables, snapshot to snapshot."""
+    names = ("repositories", "contributions", "analysis_results")
+    places = [_snapshots(spark, folder, name) for name in names]
+    jobs.remove_repositories(spark, *places, spark.range(1).select(F.lit(REPO).alias("name")))
+    return _kept(names, [tables.load_snapshot(spark, place) for place in places])
+
+
 
 STATUS_CTE = f"""{sql.with_tables('repositories', 'status_log')},
 last as (select * from status_log_t qualify row_number() over (partition by repo_name order by seq desc) = 1),
@@ -909,9 +919,11 @@ def l5(spark: SparkSession, folder: str) -> DataFrame:
     return results.last_per_stem(rows)
 
 
-@query("q5_history_dates", HISTORY_SQL)
+@query("q5_history_dates", f"select * from ({HISTORY_SQL}) h where repo_name = '{REPO}'")
 def q5(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.history_dates(_commits(spark, folder), derive(spark, folder, "commit_patches"))
+    """The history page of the repository that an address names."""
+    wanted = F.col("repo_name") == jobs.repository_of(f"https://github.com/apache/{REPO}.git")
+    return jobs.history_dates(_commits(spark, folder).where(wanted), derive(spark, folder, "commit_patches"))
 
 
 # --- analysis runs ---------------------------------------------------------------

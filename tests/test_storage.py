@@ -139,7 +139,7 @@ def test_a_commit_may_span_batches(spark, tmp_path):
     numbers = [r["seq"] for r in log().collect()]
     assert len(set(numbers)) == len(numbers) == 3 + 6 + 3
     # Another stream with nothing left to do: its entry is the newest and says so.
-    stream_analysis(stream, place, str(tmp_path / "state2"), statuses=statuses)
+    stream_analysis(stream, place, str(tmp_path / "state2"), earlier=earlier, statuses=statuses)
     last = log().orderBy(F.desc("seq")).first()
     assert (last["status"], last["progress"]) == ("completed", 100) and last["seq"] > max(numbers)
     assert sorted((r["filename"], r["seq"]) for r in stream_results(spark, place).collect()) == found
