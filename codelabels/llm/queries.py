@@ -171,8 +171,8 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 CHECKS["op7_topk"] = """
 WITH held AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ),
 long AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM held),
 scored AS (
