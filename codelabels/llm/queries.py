@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, pii, quality, simhash, topk, toxicity, urls, warc
+from . import bpe, langid, line_dedup, mixing, periods, pii, quality, simhash, topk, toxicity, urls, variants, warc
 from ..session import fresh_path, settle
-from .common import read
+from .common import ascii_lower, plain, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -229,3 +230,69 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
         return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2(span_texts(base), 256).alias("base_sha256"), span_texts(F.col("found")).alias("spans"))
+
+
+def letter_runs(docs: DataFrame) -> DataFrame:
+    """Every run of letters, A-Z lower-cased; one in 31, chosen by a checksum of key and run, has lost a letter.
+
+    A row without key loses no letter.
+    """
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run"))
+    runs = runs.select(ascii_lower(F.col("run")).alias("run"), F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), ascii_lower(F.col("run")))).alias("h"))
+    at = F.pmod("h", F.length("run"))
+    damaged = F.concat(F.col("run").substr(F.lit(1), at.cast("int")), F.col("run").substr(at.cast("int") + 2, F.length("run")))
+    return runs.select(F.when(F.col("h") % 31 == 0, damaged).otherwise(F.col("run")).alias("word"))
+
+
+@query
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of seven letters or more that occurs twice, with its frequent spelling and where that leads."""
+    docs = read(spark, folder, "documents")
+    words = settle(variants.vocabulary(letter_runs(docs), min_chars=7, min_count=2), "variant-words")
+    return variants.group(words, ratio=10)
+
+
+def with_repeats(key: Column, text: Column) -> Column:
+    """The text; for one key in ten with its words repeated from some place on, joined by a space."""
+
+    @F.arrow_udf("string")
+    def run(sums: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for h, t in zip(sums.to_pylist(), plain(texts), strict=True):
+            words = t.encode("utf-8", "replace").split() if h is not None and h % 10 == 0 else []
+            if words:
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                t = b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)]).decode()
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return run(F.crc32(key.cast("string")), text)
+
+
+@query
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its periodic runs of words, the strongest of them, and its text without the repeats."""
+    docs = read(spark, folder, "documents")
+    found = docs.select("doc_id", periods.runs(with_repeats(F.col("doc_id"), F.col("text"))).alias("f"))
+    best = F.col("f.best")
+    listed = F.transform("f.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("f.runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("f.best.length * 1000 div f.best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("f.collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and score of every document; learnt without the held-out fourth."""
+    docs = read(spark, folder, "documents")
+    may_learn = langid.for_training(F.col("doc_id"))
+    model = langid.fit(docs.filter(may_learn))
+    found = docs.select("doc_id", F.coalesce(~may_learn, F.lit(False)).alias("held_out"), langid.identify(F.col("text"), model).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
