@@ -105,7 +105,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
             for m in _IP.finditer(run[0]):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                # Leading zeros may be many: a number that long is not read as a whole.
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                     found.append((run.start() + m.start(), 1, run.start() + m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and _luhn(d):

@@ -113,3 +113,20 @@ def test_query(spark):
         assert set(named) <= set(spans)
         extra += len(spans) - len(named)
     assert extra < 100
+
+
+def test_very_long_numbers(spark, tmp_path):
+    """Parts of more digits than a number may have: their value counts, not their length."""
+    zeros, ones = "0" * 5000, "1" * 5000
+    rows = [(1, f"{zeros}.1.1.1"), (2, f"1.1.1.{zeros}"), (3, f"x {zeros}255.1.1.{zeros} y"), (4, f"{zeros}256.1.1.1"), (5, f"{ones}.1.1.1"), (6, zeros), (7, f"+{ones}")]
+    rows += [(1, f"{zeros}.1.1.1"), (None, None), (8, ""), (9, "mail a@b.co now " * 20_000)]
+    spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, spans string, n_ip int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    assert {r["doc_id"]: r["n_ip"] for r in found} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, None: 0}
+    assert {r["n_email"] for r in found if r["doc_id"] == 9} == {20_000}
+
+
+def test_query_without_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op8_pii(spark, str(tmp_path)).collect() == []
