@@ -134,13 +134,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows of docs with the smallest key of each component, one row per component."""
+    """One row of docs per component: that with the smallest key, then the smallest text.
+
+    Rows without key come last. Rows that repeat a key stand for themselves, so unrelated texts
+    with one key all stay. Only rows with a repeated or missing key have their texts compared;
+    the others are picked out by key where they lie.
+    """
     found = near_duplicates(docs, key, text, words)
-    one, name, fp, root = unused(docs, "one", "name", "fp", "root")
-    firsts = settle(found.select(F.col("component").alias(name)).filter(F.col(name).isNotNull()).distinct(), "simhash-kept")
-    known = docs.join(firsts, F.col(key) == F.col(name), "left_semi").withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col(one) == 1)
-    # Components in which no row has a key: one row each, by the smallest text.
-    nameless = found.filter("component is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
-    unnamed = docs.filter(F.col(key).isNull()).withColumn(fp, fingerprint(F.col(text), words)).join(settle(nameless, "simhash-nameless"), fp)
-    unnamed = unnamed.withColumn(one, F.row_number().over(Window.partitionBy(root).orderBy(text))).filter(F.col(one) == 1)
-    return known.select(docs.columns).unionByName(unnamed.select(docs.columns))
+    found = settle(found.select(F.col(key).alias("id"), "fp", "root"), "simhash-found")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("m")
+    often = settle(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "simhash-often")
+    firsts = settle(found.groupBy("root").agg(first).select("root", "m.id"), "simhash-firsts")
+    name, fp, root, one = unused(docs, "name", "fp", "root", "one")
+    single = settle(firsts.filter("id is not null").join(often, "id", "left_anti").select(F.col("id").alias(name)), "simhash-single")
+    known = docs.join(single, F.col(key) == F.col(name), "left_semi")
+    # Which fingerprints with a repeated or missing key belong to the component that this key stands for.
+    several = firsts.join(often, "id", "left_semi").unionByName(firsts.filter("id is null"))
+    held = found.join(several.select("root", F.col("id").alias("first")), "root").filter(F.col("id").eqNullSafe(F.col("first")))
+    held = settle(held.select(F.col("id").alias(name), F.col("fp").alias(fp), F.col("root").alias(root)).distinct(), "simhash-several")
+    rows = docs.join(held.select(name).distinct(), F.col(key).eqNullSafe(F.col(name)), "left_semi").withColumn(fp, fingerprint(F.col(text), words))
+    rows = rows.join(held, F.col(key).eqNullSafe(held[name]) & (rows[fp] == held[fp])).drop(held[fp], held[name])
+    rows = rows.withColumn(one, F.row_number().over(Window.partitionBy(root).orderBy(text))).filter(F.col(one) == 1)
+    return known.select(docs.columns).unionByName(rows.select(docs.columns))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -72,6 +73,17 @@ def test_stages_against_brute_force(spark, folder):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()) == tokens
 
 
+def test_unrelated_texts_with_one_key_all_stay(spark, folder, tmp_path):
+    rng = random.Random(4)
+    one, two, three = (" ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(40)) for _ in range(3))
+    rows = [(7, one), (7, two), (9, three), (9, three)]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(7, one), (7, two), (9, three)])
+    assert {r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in (one, two, three)}
+
+
 def test_no_documents(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")

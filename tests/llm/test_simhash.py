@@ -98,3 +98,12 @@ def test_empty(spark):
 
 def test_hex(spark):
     assert [r[0] for r in spark.createDataFrame([(-1,), (0,), (255,)], "v long").select(simhash.as_hex(F.col("v"))).collect()] == ["f" * 16, "0" * 16, "0" * 14 + "ff"]
+
+
+def test_one_row_per_component_though_keys_repeat(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(300)) for _ in range(4))
+    rows = [(7, a), (7, b), (9, c), (7, a), (8, b), (None, d), (None, a), (None, None), (None, ""), (3, c), (7, None)]
+    kept = simhash.representatives(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, root int, name string"))
+    # Null and empty texts are one component; the key seven stands for three.
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, a), (7, b), (3, c), (None, d), (7, None)], key=str)
