@@ -32,6 +32,7 @@ MAGIC, EMPTY_DIGEST = b"\x1f\x8b\x08", hashlib.sha256(b"").hexdigest()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 RANGE_BYTES, READ_BYTES, MIN_REVISIT = 8 << 20, 1 << 18, 100
+RANGES = 16  # ranges a task reads at most, if there are more than cores
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -94,72 +95,68 @@ def write(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -
 
 
 class _Source:
-    """A file read forward from a place in blocks, with what has been read still at hand."""
+    """A file read in blocks, of which the last one is at hand."""
 
-    def __init__(self, file, start: int, size: int):
-        self.file, self.at, self.size, self.data = file, start, size, b""
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start, self.block = file, size, 0, b""
 
-    def more(self) -> bool:
-        """Reads one more block; False at the end of the file."""
-        place = self.at + len(self.data)
-        if place >= self.size:
-            return False
-        self.file.seek(place)
-        self.data += self.file.read(min(READ_BYTES, self.size - place))
-        return True
+    def at(self, place: int, least: int = 1) -> tuple[bytes, int]:
+        """A block with `least` bytes from place on, fewer only at the end of the file, and where in it they begin."""
+        offset = place - self.start
+        if not 0 <= offset or (offset + least > len(self.block) and self.start + len(self.block) < self.size):
+            self.file.seek(place)
+            self.start, self.block, offset = place, self.file.read(max(0, min(READ_BYTES, self.size - place))), 0
+        return self.block, offset
 
-    def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
 
+def _inflated(source: _Source, place: int) -> tuple[bytes, int] | None:
+    """The record that starts at a place and where it ends; None if there is none.
 
-def _inflated(source: _Source) -> tuple[bytes, int] | None:
-    """The record that starts at the source's place and its compressed length; None if there is none.
-
-    Only as much is inflated as shows that no header begins here.
+    Only as much is inflated as shows that no header begins here. Pieces grow, so
+    short records do not pass on whole blocks and long ones cost linear time.
     """
-    inflate, out, fed = zlib.decompressobj(31), [], 0
+    inflate, out, at, size = zlib.decompressobj(31), [], place, 1 << 12
     while not inflate.eof:
-        if fed == len(source.data) and not source.more():
+        block, offset = source.at(at)
+        piece = memoryview(block)[offset : offset + size]
+        if not len(piece):
             return None
-        piece = source.data[fed:]
         try:
-            out.append(inflate.decompress(piece) if fed else inflate.decompress(piece, 64))
-            if not fed and not inflate.eof:
+            out.append(inflate.decompress(piece, 64) if at == place else inflate.decompress(piece))
+            if at == place and not inflate.eof:
                 if not b"WARC/".startswith(out[0][:5]) and not out[0].startswith(b"WARC/"):
                     return None
                 out.append(inflate.decompress(inflate.unconsumed_tail))
         except zlib.error:
             return None
-        fed = len(source.data)
-    used, text = fed - len(inflate.unused_data), b"".join(out)
-    while len(source.data) < used + 2 and source.more():
-        pass
-    if not text.startswith(b"WARC/") or not MAGIC.startswith(source.data[used : used + 2]):
+        at, size = at + len(piece), min(2 * size, READ_BYTES)
+    end, text = at - len(inflate.unused_data), b"".join(out)
+    block, offset = source.at(end, 2)
+    if not text.startswith(b"WARC/") or not MAGIC.startswith(block[offset : offset + 2]):
         return None
-    return text, used
+    return text, end
 
 
-def _records(source: _Source, end: int) -> Iterator[bytes]:
-    """The records that start before `end`."""
-    while source.at < end:
-        if len(source.data) < 3 and source.more():
-            continue
-        place = source.data.find(MAGIC)
-        if place < 0:
+def _records(source: _Source, place: int, end: int) -> Iterator[bytes]:
+    """The records that start from place on and before `end`."""
+    while place < end:
+        block, offset = source.at(place, len(MAGIC))
+        hit = block.find(MAGIC, offset)
+        if hit < 0:
             # The last two bytes may begin a magic.
-            source.skip(max(0, len(source.data) - 2))
-            if not source.more():
+            if source.start + len(block) >= source.size:
                 return
+            place = source.start + len(block) - 2
             continue
-        source.skip(place)
-        if source.at >= end:
+        place = source.start + hit
+        if place >= end:
             return
-        found = _inflated(source)
+        found = _inflated(source, place)
         if found is None:
-            source.skip(1)
+            place += 1
         else:
             yield found[0]
-            source.skip(found[1])
+            place = found[1]
 
 
 def _fields(record: bytes) -> tuple:
@@ -168,14 +165,14 @@ def _fields(record: bytes) -> tuple:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         named[name.strip().lower()] = value.strip()
-    if "content-length" in named:
-        block = block[: int(named["content-length"])]
+    if (length := named.get("content-length", ""))[:18].isdecimal() and len(length) <= 18:
+        block = block[: int(length)]
     kind, size, payload = named.get("warc-type"), None, block
     if named.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
         for line in http.split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            if name.strip().lower() == b"content-length" and value.strip().isdigit() and len(value.strip()) <= 18:
                 size = int(value)
     digest = named.get("warc-payload-digest", "")
     bare = lambda v: v[1:-1] if v and v.startswith("<") else v
@@ -202,7 +199,7 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> Da
                 store, name = FileSystem.from_uri(path)
                 with store.open_input_file(name) as file:
                     rows, held = [], 0
-                    for record in _records(_Source(file, start, size), min(start + range_bytes, size)):
+                    for record in _records(_Source(file, size), start, min(start + range_bytes, size)):
                         rows.append(_fields(record))
                         held += len(record)
                         if held > 8 << 20:
@@ -214,7 +211,10 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> Da
     # file:/a names the same place as file:///a, the form that all readers know.
     path = F.regexp_replace("path", "^file:/+", "file:///")
     ranges = files.select(path.alias("path"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(scan, SCHEMA)
+    # A stated number, which AQE keeps: it would merge the few bytes of addresses into one task.
+    n = ranges.count()
+    tasks = max(1, -(-n // RANGES), min(n, spark.sparkContext.defaultParallelism))
+    return ranges.repartition(tasks).mapInArrow(scan, SCHEMA)
 
 
 def number(urn: Column) -> Column:

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from codelabels.llm import queries, warc
 
 
@@ -72,3 +74,37 @@ def test_very_long_record_and_empty_table(spark, tmp_path):
 def test_query(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
     assert found(queries.op10_warc(spark, "/root/testdata/sf0.01")) == brute([tuple(r) for r in pages])
+
+
+def test_ranges_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = [(i, None, "".join(random.Random(i).choices("abcdefgh", k=2000))) for i in range(300)]
+    warc.write(warc.marked(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)), f"{tmp_path}/a")
+    size = sum(p.stat().st_size for p in (tmp_path / "a").glob("part-*")) // 200
+    records = warc.read(spark, f"{tmp_path}/a", size)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    parts = records.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(parts) > 8 and max(r["n"] for r in parts) < 60
+    assert found(queries.archived(records)) == brute([(i, h) for i, _, h in rows])
+
+
+def test_a_large_member_is_read_in_linear_time(tmp_path):
+    noise = random.Random(2).randbytes(24 << 20)
+    member = warc._record("1", None, noise, "d", None, False, "2024") + b"\0"
+    (tmp_path / "a.gz").write_bytes(member * 2)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.read_bytes = file, 0
+
+        def seek(self, place):
+            self.file.seek(place)
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.file.read(n)
+
+    with (tmp_path / "a.gz").open("rb") as file:
+        source = Counted(file)
+        records = list(warc._records(warc._Source(source, 2 * len(member)), 0, 2 * len(member)))
+    assert [r.endswith(noise + b"\r\n\r\n") for r in records] == [True, True]
+    assert source.read_bytes < 2.1 * 2 * len(member)
