@@ -43,6 +43,12 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return found
 
 
+def below(hashed: Column, share: Column | float) -> Column:
+    """True for that share of all 64-bit hashes, the smallest ones."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return hashed.cast("double") < share * 2.0**64 - 2.0**63
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import plain
+from .common import below, plain
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE, CUTS = 4_000, 3  # labelled texts, windows of each
@@ -151,20 +151,24 @@ def _drawn(text: Column, cuts: int) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, cuts: int = CUTS) -> Model:
     """Trains on at most `sample` rows with key, text and language, at most `cuts` + 1 windows of each.
 
-    All languages that occur are learnt; none gives a model without languages. Which rows
-    are taken does not depend on their order; of repeated rows one counts.
+    All languages that occur are learnt, if there are no more than `sample`; none gives a
+    model without languages. Which rows are taken does not depend on their order; of
+    repeated rows one counts.
     """
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).filter("k is not null and lang is not null and length(t) > 0")
     known = known.filter(F.col("t").rlike(r"\p{L}"))
-    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
+    sizes = settle(known.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    languages = [r["lang"] for r in sizes.select("lang").orderBy("lang").limit(sample).collect()]
     if not languages:
         return Model((), (), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     each = max(1, sample // len(languages))
-    # Ranks are cut off before the shuffle, so a language with most rows moves `each` of a task's at most.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("t")))
-    ids = settle(known.select("lang", "k", F.xxhash64("t").alias("h"), rank.alias("rank")).filter(F.col("rank") <= each).drop("rank"), "language-sample")
+    # About twice as many as are taken pass by their hash alone, whatever a language's size; only these are ranked.
+    drawn = known.select("lang", "k", F.xxhash64("t").alias("h"), F.xxhash64("k", F.lit(1)).alias("draw"))
+    drawn = drawn.join(sizes, "lang").filter(below(F.col("draw"), (2.0 * each + 100) / F.col("n"))).select("lang", "k", "h", "draw").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "k", "h"))
+    ids = settle(drawn.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "k", "h"), "language-sample")
     # At most `sample` rows of two numbers and a name.
-    found = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(ids.distinct()), ["lang", "k", "h"])
+    found = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(ids), ["lang", "k", "h"])
     pieces = found.dropDuplicates(["lang", "k", "h"]).select("lang", F.explode(_drawn(F.col("t"), cuts)).alias("w"))
     rows = sorted((r["lang"], bytes(r["w"])) for r in pieces.collect())
     windows, place = padded([w for _, w in rows]), {name: i for i, name in enumerate(languages)}
