@@ -1,7 +1,7 @@
 """Repository catalogue: upsert, cascade delete, status.
 
-Each function returns the table's new state; the caller saves it as a new
-snapshot, so no plan overwrites what it reads.
+Each function returns new rows; the caller adds them as a new version, so no
+plan overwrites what it reads.
 """
 
 from __future__ import annotations

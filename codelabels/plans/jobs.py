@@ -17,7 +17,7 @@ from ..operators.scoring import RuleScorer, classify, fan_out
 from ..operators.windows import file_lines, line_windows
 from ..schemas import FILE_TYPE, HISTORY_PAGE, PATH_LIMIT, WINDOW_GROW, WINDOW_MAX, WINDOW_MIN, WINDOW_MOVE
 from ..session import settle
-from ..sources.tables import load_snapshot, next_snapshot
+from ..sources import manifest
 
 # min size, max size, growth, move
 Windows = tuple[int, int, int, int]
@@ -156,25 +156,29 @@ def run_events(scored: DataFrame, url: Column) -> DataFrame:
     return files.unionByName(closing)
 
 
-def edit_repositories(spark: SparkSession, folder: str, updates: DataFrame, now: Column) -> None:
-    """Applies creations and edits to the newest snapshot of the catalogue and saves the next one."""
-    next_snapshot(spark, catalog.upsert_repositories(load_snapshot(spark, folder), updates, now), folder)
+def edit_repositories(spark: SparkSession, table: str, updates: DataFrame, now: Column) -> None:
+    """Applies creations and edits to the catalogue; only rows that change are written.
+
+    If another writer is faster the edits are applied to what it left.
+    """
+    names = updates.select("name").distinct()
+    manifest.change(spark, table, lambda rows: catalog.upsert_repositories(rows.join(names, "name", "left_semi"), updates, now))
 
 
-def record_status(spark: SparkSession, folder: str, status_log: DataFrame) -> None:
-    """Puts each repository's last status into the next snapshot of the catalogue."""
-    next_snapshot(spark, catalog.apply_status(load_snapshot(spark, folder), status_log), folder)
+def record_status(spark: SparkSession, table: str, status_log: DataFrame) -> None:
+    """Puts each repository's last status into the catalogue; only rows that change are written."""
+    names = status_log.select(F.col("repo_name").alias("name")).distinct()
+    manifest.change(spark, table, lambda rows: catalog.apply_status(rows.join(names, "name", "left_semi"), status_log))
 
 
 def remove_repositories(spark: SparkSession, repositories: str, contributions: str, analysis_results: str, names: DataFrame) -> None:
-    """Saves the next snapshots of the three tables without the named repositories.
+    """Takes the named repositories out of the three tables; no text is read or written.
 
     The catalogue goes last: until then a repository that is half removed is
     still listed, and the removal can be repeated.
     """
-    kept = catalog.delete_repositories(names, *(load_snapshot(spark, f) for f in (repositories, contributions, analysis_results)))
-    for rows, folder in list(zip(kept, (repositories, contributions, analysis_results), strict=True))[::-1]:
-        next_snapshot(spark, rows, folder)
+    for table in (analysis_results, contributions, repositories):
+        manifest.remove(spark, table, names)
 
 
 def history_dates(log: DataFrame, commit_patches: DataFrame, page: int = HISTORY_PAGE) -> DataFrame:

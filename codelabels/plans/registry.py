@@ -17,7 +17,7 @@ from ..functions import paths, text, values
 from ..operators import catalog, history, patches, ranking, results, runs, scoring, windows
 from ..schemas import ANALYSIS_RESULTS, CLASSIFIER_LABELS, COMMIT_LIMIT, LABELS, NO_COMMITS, STATUS_LOG, create_tables
 from ..session import fresh_path, settle
-from ..sources import files, tables
+from ..sources import files, manifest, tables
 from ..sources.derived import derive
 from ..streaming import jobs as streams
 from . import check_sql as sql
@@ -659,18 +659,19 @@ def _upsert(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.upsert_repositories(derive(spark, folder, "repositories"), derive(spark, folder, "repository_updates"), now())
 
 
-def _snapshots(spark: SparkSession, folder: str, name: str, version: int = 1) -> str:
-    """A table's first snapshot, as an earlier job would have left it."""
-    place = fresh_path(spark, f"snapshots-{name}")
-    tables.save_snapshot(derive(spark, folder, name), place, version)
+def _versioned(spark: SparkSession, folder: str, name: str) -> str:
+    """A table's first version, as an earlier job would have left it."""
+    place = fresh_path(spark, f"versions-{name}")
+    catalogue = name == "repositories"
+    manifest.create(spark, place, derive(spark, folder, name), "name" if catalogue else "repo_name", latest=catalogue)
     return place
 
 
 @query("m1_upsert_job", UPSERT_SQL)
 def m1_job(spark: SparkSession, folder: str) -> DataFrame:
-    place = _snapshots(spark, folder, "repositories")
+    place = _versioned(spark, folder, "repositories")
     jobs.edit_repositories(spark, place, derive(spark, folder, "repository_updates"), now())
-    return tables.load_snapshot(spark, place)
+    return manifest.read(spark, place)
 
 
 query("m1_upsert_repositories", UPSERT_SQL)(_upsert)
@@ -702,11 +703,11 @@ query("m2_delete_repositories", DELETE_SQL)(_delete)
 
 @query("q6_delete_repository", DELETE_SQL.replace("(select name from deleted_names_t)", f"('{REPO}')"))
 def q6(spark: SparkSession, folder: str) -> DataFrame:
-    """One repository removed from all three tables, snapshot to snapshot."""
+    """One repository removed from all three tables, version to version."""
     names = ("repositories", "contributions", "analysis_results")
-    places = [_snapshots(spark, folder, name) for name in names]
+    places = [_versioned(spark, folder, name) for name in names]
     jobs.remove_repositories(spark, *places, spark.range(1).select(F.lit(REPO).alias("name")))
-    return _kept(names, [tables.load_snapshot(spark, place) for place in places])
+    return _kept(names, [manifest.read(spark, place) for place in places])
 
 
 
@@ -734,16 +735,16 @@ def m3(spark: SparkSession, folder: str) -> DataFrame:
 @query("m2_delete_job", DELETE_SQL)
 def m2_job(spark: SparkSession, folder: str) -> DataFrame:
     names = ("repositories", "contributions", "analysis_results")
-    places = [_snapshots(spark, folder, name, 3) for name in names]
+    places = [_versioned(spark, folder, name) for name in names]
     jobs.remove_repositories(spark, *places, derive(spark, folder, "deleted_names"))
-    return _kept(names, [tables.load_snapshot(spark, place) for place in places])
+    return _kept(names, [manifest.read(spark, place) for place in places])
 
 
 @query("m3_status_job", CHECKS["m3_apply_status"])
 def m3_job(spark: SparkSession, folder: str) -> DataFrame:
-    place = _snapshots(spark, folder, "repositories")
+    place = _versioned(spark, folder, "repositories")
     jobs.record_status(spark, place, derive(spark, folder, "status_log"))
-    return tables.load_snapshot(spark, place).drop("description", "comments", "created_at", "updated_at")
+    return manifest.read(spark, place).drop("description", "comments", "created_at", "updated_at")
 
 
 _STATUS_ROWS = f"name, status, {sql.iso_or_null('start_time')} as start_time, {sql.iso_or_null('end_time')} as end_time, progress, error_message"

@@ -70,14 +70,6 @@ def test_appending_numbers_rows_in_order(spark, tmp_path):
     assert stored.where(F.col("seq") >= first).count() == 1
 
 
-def test_snapshots_stand_beside_each_other(spark, tmp_path):
-    one = tables.save_snapshot(spark.range(3), str(tmp_path), 1)
-    two = tables.save_snapshot(spark.read.parquet(one).where("id > 0"), str(tmp_path), 2)
-    assert (spark.read.parquet(one).count(), spark.read.parquet(two).count()) == (3, 2)
-    with pytest.raises(Exception, match="exists"):
-        tables.save_snapshot(spark.range(1), str(tmp_path), 2)
-
-
 def test_jdbc_options():
     options = tables.jdbc_options("jdbc:postgresql://h/d", "commits", numPartitions="8")
     assert options["dbtable"] == "commits" and options["url"].endswith("/d") and options["numPartitions"] == "8"
@@ -145,16 +137,6 @@ def test_a_commit_may_span_batches(spark, tmp_path):
     assert sorted((r["filename"], r["seq"]) for r in stream_results(spark, place).collect()) == found
 
 
-def test_newest_finished_snapshot(spark, tmp_path):
-    place = str(tmp_path / "repos")
-    with pytest.raises(ValueError, match="no finished snapshot"):
-        tables.load_snapshot(spark, place)
-    assert tables.next_snapshot(spark, spark.range(1), place).endswith("version=00000001")
-    tables.next_snapshot(spark, spark.range(2), place)
-    spark.range(9).write.parquet(f"{place}/version=00000003")
-    assert tables.load_snapshot(spark, place).count() == 2 and tables.load_snapshot(spark, place, 1).count() == 1
-
-
 def test_streamed_extraction_equals_batch(spark, tmp_path):
     log = [("r", f"c{i}", "dev", WHEN, [] if i == 9 else [f"c{i + 1}"], i) for i in range(10)]
     code = "class A {\n  int a;\n}\n"
