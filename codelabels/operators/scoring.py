@@ -54,6 +54,7 @@ class RuleScorer:
     labels: list[str] = field(default_factory=lambda: list(LABELS))
     initials: Sequence[str] = field(default_factory=lambda: list(INITIALS))
     min_hits: int = MIN_HITS
+    can_fail = False
 
     def __call__(self, windows: DataFrame) -> DataFrame:
         rest = [c for c in windows.columns if c != "code"]

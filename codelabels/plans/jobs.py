@@ -68,6 +68,7 @@ def analyze(
     content_complete: bool = False,
     requested: DataFrame | None = None,
     skip: DataFrame | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """One analysis run per repository in ``contributions``, or per requested one.
 
@@ -77,10 +78,11 @@ def analyze(
     one scoring. Run places are found on narrow rows and settled before the
     texts are fetched by unique number: few pending files are picked out where
     the texts lie, many are spread whatever repository they belong to. The
-    windows of a file are folded without another shuffle.
+    windows of a file are folded without another shuffle. ``settled`` says that
+    the stored results are a few keys already written down for this call.
     """
     scorer = scorer or RuleScorer()
-    known = results.analysed_keys(stored_results, by)
+    known = stored_results if settled else results.analysed_keys(stored_results, by)
     pending = settle(runs.pending_files(contributions, known, by, content_complete, requested, skip), "pending")
     scored = score_files(runs.with_text(pending, contributions), RUN_KEYS, scorer, windows)
     for name, kind in (("elapsed_time", "double"), ("error", "string")):
@@ -90,9 +92,9 @@ def analyze(
     return scored.withColumn("detected", detected).drop("verdict")
 
 
-def saved_results(scored: DataFrame) -> DataFrame:
+def saved_results(scored: DataFrame, can_fail: bool = True) -> DataFrame:
     """Rows a run stores: those before its first failure, with progress."""
-    return runs.with_progress(runs.before_failure(scored))
+    return runs.with_progress(runs.before_failure(scored) if can_fail else scored.drop("error"))
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ class Run:
 def run_analysis(
     contributions: DataFrame,
     stored_results: DataFrame,
-    requested: DataFrame,
+    requested: DataFrame | None,
     url: Column,
     scorer: Callable | None = None,
     windows: Windows = WINDOWS,
@@ -122,8 +124,9 @@ def run_analysis(
     opened: Callable[[DataFrame], None] | None = None,
     clock: Callable[[], Column] = lambda: F.lit(datetime.now()),
     skip: DataFrame | None = None,
+    settled: bool = False,
 ) -> Run:
-    """The analysis of the requested repositories (``repo_name``), scored once.
+    """The analysis of the requested repositories (``repo_name``), or of all there are, scored once.
 
     ``opened`` receives the opening status entries before any file is scored, so
     that readers see a run that works. A repository with nothing left to score
@@ -132,16 +135,20 @@ def run_analysis(
     the log (:func:`..sources.tables.next_seq`), and no run is ever overtaken by
     an older one.
     """
-    first = F.lit(first_seq).cast("bigint")
-    asked = settle(runs.requested_runs(requested, contributions), "requested")
-    working = asked.where("has_commits")
+    first, scorer = F.lit(first_seq).cast("bigint"), scorer or RuleScorer()
+    if requested is None:
+        everyone = contributions.select("repo_name").where(F.col("repo_name").isNotNull()).distinct()
+        asked, working = everyone.withColumn("has_commits", F.lit(True)), None
+    else:
+        asked = settle(runs.requested_runs(requested, contributions), "requested")
+        working = asked.where("has_commits")
     started = clock()
-    opening = runs.opening_status(working, started, first)
+    opening = runs.opening_status(asked.where("has_commits"), started, first)
     if opened:
         opened(opening)
-    scored = settle(analyze(contributions, stored_results, scorer, windows, by, content_complete, working, skip), "scored")
-    saved = saved_results(scored)
-    finished = settle(runs.every_run(asked, runs.run_summary(scored)), "finished")
+    scored = settle(analyze(contributions, stored_results, scorer, windows, by, content_complete, working, skip, settled), "scored")
+    saved = saved_results(scored, getattr(scorer, "can_fail", True))
+    finished = runs.every_run(asked, runs.run_summary(scored))
     ran = finished.where("has_commits")
     closing = runs.closing_status(ran, started, clock(), first + F.col("total") + 1)
     later = runs.rising_status(saved, started, first).unionByName(closing)

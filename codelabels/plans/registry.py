@@ -20,6 +20,7 @@ from ..session import fresh_path, settle
 from ..sources import files, manifest, tables
 from ..sources.derived import derive
 from ..streaming import jobs as streams
+from ..streaming import runs as followed
 from . import check_sql as sql
 from . import jobs
 
@@ -1013,6 +1014,23 @@ def a6_status(spark: SparkSession, folder: str) -> DataFrame:
     return _failing(spark, folder).statuses
 
 
+@query("p1_run_over_batches", f"{FAILING_SQL}, statuses as ({STATUS_SQL}) select repo_name, seq - 1 as seq, status, progress, error_message from statuses")
+def p1_over_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """One run per repository over many micro-batches: it rises, and ends once, at its last or first failing file."""
+    contributions = derive(spark, folder, "contributions")
+    requested = derive(spark, folder, "repositories").select(F.col("name").alias("repo_name"))
+    requests, planned = followed.plan_run(contributions, derive(spark, folder, "analysis_results"), requested)
+    source, scores, asked, entries = (fresh_path(spark, x) for x in ("arriving", "scores", "asked", "entries"))
+    contributions.repartitionByRange(4, "seq").write.parquet(source)
+    requests.write.parquet(asked)
+    arriving = spark.readStream.schema(contributions.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    followed.stream_scores(arriving, planned, scores, fresh_path(spark, "scores-state"), scoring.ArrowScorer(failing_model()), GRIDS["35_25"])
+    scored = spark.readStream.schema(spark.read.parquet(scores).schema).option("maxFilesPerTrigger", 4).parquet(scores)
+    steps = followed.steps_of(spark.readStream.schema(requests.schema).parquet(asked), scored)
+    followed.stream_runs(steps, entries, fresh_path(spark, "runs-state"))
+    return spark.read.schema(followed.ENTRY).parquet(entries).drop("file")
+
+
 RUN_ROW = f"repo_name, filename, author, {sql.iso_or_null('timestamp')} as timestamp, sha, detected, progress"
 
 

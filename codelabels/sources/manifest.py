@@ -66,6 +66,11 @@ def _path(spark: SparkSession, place: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    store, path = _path(spark, place)
+    return store.exists(path)
+
+
 def _entry(table: str, number: int) -> str:
     return f"{table.rstrip('/')}/{LOG}/{number:020d}.json"
 

@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from codelabels.operators import scoring
+from codelabels.plans import jobs
+from codelabels.schemas import ANALYSIS_RESULTS, CONTRIBUTIONS
+from codelabels.sources import manifest, seen
+from codelabels.streaming import jobs as streams
+from codelabels.streaming import runs as followed
+
+WHEN = datetime(2024, 1, 1)
+
+
+class State:
+    """The part of Spark's group state that the operator uses."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def advance(state, *steps):
+    frame = pd.DataFrame(steps, columns=["done", "total", "file", "error"], dtype=object)
+    return [tuple(r) for out in followed.stepper()(("r",), iter([frame]), state) for r in out.itertuples(index=False)]
+
+
+def test_a_run_rises_over_batches_and_ends_once():
+    state = State()
+    assert advance(state, (0, 3, None, None), (2, 3, 12, None)) == [("r", 0, "in-progress", 0, None, None)]
+    # The second file had to wait for the first; both count now.
+    assert advance(state, (1, 3, 11, None)) == [("r", 1, "in-progress", 33, None, 11), ("r", 2, "in-progress", 66, None, 12)]
+    assert advance(state, (1, 3, 11, None), (2, 3, 12, None)) == []
+    assert advance(state, (3, 3, 13, None)) == [("r", 3, "in-progress", 100, None, 13), ("r", 4, "completed", 100, None, None)]
+    assert advance(state, (3, 3, 13, None), (0, 3, None, None)) == []
+
+
+def test_nothing_counts_after_the_first_error():
+    state = State()
+    assert advance(state, (3, 4, 13, None), (0, 4, None, None), (4, 4, 14, "late"))[-1][1] == 0
+    found = advance(state, (2, 4, 12, "broken"), (1, 4, 11, None))
+    assert found == [("r", 1, "in-progress", 25, None, 11), ("r", 5, "error", None, "broken", 12)]
+    assert advance(state, (3, 4, 13, None), (4, 4, 14, None)) == [] and json.loads(state.value[3]) == []
+
+
+def test_a_run_without_files_ends_at_once():
+    assert advance(State(), (0, 0, None, None)) == [("r", 0, "in-progress", 0, None, None), ("r", 1, "completed", 100, None, None)]
+
+
+def contributions(spark, n=24):
+    rows = [(i, f"d{i}", "bad" if i in (13, 17) else "alpha beta int x;", [1], f"/t/f{i}.java", WHEN, f"s{i // 6}", f"r{i % 2}") for i in range(n)]
+    return spark.createDataFrame(rows, CONTRIBUTIONS)
+
+
+def failing():
+    score = scoring.rule_model()
+
+    def load():
+        model = score()
+
+        def predict(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot read")
+            return model(texts)
+
+        return predict
+
+    return load
+
+
+def test_stream_of_runs_equals_one_batch_run(spark, tmp_path):
+    rows, empty = contributions(spark), spark.createDataFrame([], ANALYSIS_RESULTS)
+    requested = spark.createDataFrame([("r0",), ("r1",), ("absent",)], "repo_name string")
+    requests, files = followed.plan_run(rows, empty, requested)
+    places = {x: str(tmp_path / x) for x in ("in", "asked", "scores", "entries", "s1", "s2")}
+    requests.write.parquet(places["asked"])
+    for low in (12, 0, 6, 18):  # the second half of the run's first files comes first
+        rows.where(F.col("seq").between(low, low + 5)).coalesce(1).write.mode("append").parquet(places["in"])
+    arriving = spark.readStream.schema(CONTRIBUTIONS).option("maxFilesPerTrigger", 1).parquet(places["in"])
+    scorer = scoring.ArrowScorer(failing())
+    for _ in range(2):  # started again, there is nothing left to do
+        followed.stream_scores(arriving, files, places["scores"], places["s1"], scorer)
+        scored = spark.readStream.schema(spark.read.parquet(places["scores"]).schema).option("maxFilesPerTrigger", 1).parquet(places["scores"])
+        steps = followed.steps_of(spark.readStream.schema(requests.schema).parquet(places["asked"]), scored)
+        followed.stream_runs(steps, places["entries"], places["s2"])
+    entries = spark.read.schema(followed.ENTRY).parquet(places["entries"])
+    run = jobs.run_analysis(rows, empty, requested, F.lit("u"), scorer)
+    columns = ["repo_name", "seq", "status", "progress", "error_message"]
+    key = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    assert key(entries) == key(run.statuses)
+    assert sorted(r["seq"] for r in followed.accepted(spark, places["scores"], entries).collect()) == sorted(r["seq"] for r in run.results.collect())
+    assert len(list((tmp_path / "scores").glob("batch_id=*"))) == 4
+
+
+def test_a_batch_does_not_read_what_is_stored(spark, tmp_path, monkeypatch):
+    """Once the index stands, the stored results are left alone."""
+    rows, source, place = contributions(spark), str(tmp_path / "in"), str(tmp_path / "out")
+    for low in range(0, 24, 6):
+        rows.where(F.col("seq").between(low, low + 5)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CONTRIBUTIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    monkeypatch.setattr(streams, "read_batches", None)
+    streams.stream_analysis(stream, place, str(tmp_path / "state"))
+    monkeypatch.undo()
+    found = streams.read_batches(spark, place)
+    assert found.count() == 24 and manifest.newest(spark, f"{place}-seen").number == 4
+    # A location that was written without an index gets one at the start.
+    old = str(tmp_path / "old")
+    found.write.partitionBy("run", "batch_id").parquet(old)
+    streams.stream_analysis(stream, old, str(tmp_path / "state2"))
+    assert streams.read_batches(spark, old).count() == 24
+    keys = spark.createDataFrame([("s0",)], "commit string")
+    assert seen.lookup(spark, f"{old}-seen", keys, "commit", streams.RESULT_KEYS).count() == 6
