@@ -12,7 +12,8 @@ epoch has an order of its own, from a hash of seed, epoch and key. Whole epochs
 every document; the last one takes documents in order while their tokens fit.
 
 The order's prefix is found without sorting a leaf: tokens are summed per leaf and hash
-bucket, and only the one bucket in which the budget ends is looked at row by row.
+bucket; the one bucket in which the budget ends is cut into 4,096 again, and only the
+one of these in which it ends is looked at row by row. Equal rows are one there.
 """
 
 from __future__ import annotations
@@ -101,8 +102,19 @@ def _place(key: Column, seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def _bucket(place: Column) -> Column:
-    return F.substring(place, 1, 3)
+def _bucket(place: Column, level: int = 0) -> Column:
+    return F.substring(place, 1 + 3 * level, 3)
+
+
+def _end(sums: DataFrame, room: str) -> DataFrame:
+    """Per leaf the bucket in which its tokens go beyond `room`, and what is left of it there.
+
+    sums: leaf, room, bucket and n, at most 4,096 rows a leaf.
+    """
+    running = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+    ends = sums.withColumn("upto", running).filter(F.col("upto") > F.col(room))
+    ends = ends.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col(room) - (F.col("upto") - F.col("n"))).alias("room"))).alias("e"))
+    return ends.select(*LEVELS, F.col("e.bucket").alias("cut"), F.col("e.room").alias("room"))
 
 
 def plan(docs: DataFrame, targets: Targets, domain: Column, language: str = "lang", source: str = "source", key: str = "doc_id", text: str = "text", budget: int | None = None, max_epochs: int = 4, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -121,14 +133,17 @@ def plan(docs: DataFrame, targets: Targets, domain: Column, language: str = "lan
     whole = F.coalesce(F.expr("budget div nullif(tokens, 0)"), F.lit(0))
     shared = settle(shared.withColumn("whole", whole).withColumn("left", F.col("budget") - F.col("whole") * F.col("tokens")), "mix-leaves")
     placed = marked.join(shared.select(*LEVELS, "whole", "left"), list(LEVELS)).withColumn("place", _place(F.col("id"), seed, F.col("whole") + 1)).withColumn("bucket", _bucket(F.col("place")))
-    # At most 4,096 rows a leaf.
     sums = placed.groupBy(*LEVELS, "left", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    ends = sums.withColumn("upto", running).filter("upto > left").groupBy(*LEVELS).agg(F.min(F.struct("bucket", F.expr("left - (upto - n)").alias("room"))).alias("e"))
-    ends = settle(ends.select(*LEVELS, F.col("e.bucket").alias("cut"), F.col("e.room").alias("room")), "mix-cuts")
-    last = placed.join(ends, [*LEVELS]).filter("bucket = cut")
-    order = Window.partitionBy(*LEVELS).orderBy("place", "id", "n_tokens")
-    last = last.withColumn("upto", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("upto <= room")
+    ends = settle(_end(sums, "left"), "mix-cuts")
+    near = placed.join(ends, [*LEVELS]).filter("bucket = cut").groupBy(*LEVELS, "room", "place", "id", "n_tokens").agg(F.count("*").alias("rows"))
+    near = settle(near.withColumn("bucket", _bucket(F.col("place"), 1)), "mix-near")
+    fine = settle(_end(near.groupBy(*LEVELS, "room", "bucket").agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("n")), "room"), "mix-ends")
+    near = near.drop("room").join(fine, [*LEVELS])
+    order = Window.partitionBy(*LEVELS).orderBy("place", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    # Equal rows are taken if the first of them fits.
+    before = F.coalesce(F.sum(F.col("n_tokens") * F.col("rows")).over(order), F.lit(0))
+    inner = near.filter("bucket = cut").withColumn("before", before).filter("before + n_tokens <= room")
+    last = near.filter("bucket < cut").select(*LEVELS, "place", "id", "n_tokens").unionByName(inner.select(*LEVELS, "place", "id", "n_tokens"))
     last = last.groupBy(*LEVELS).agg(F.max(F.struct("place", "id", "n_tokens")).alias("last"))
     leaves = shared.join(ends, list(LEVELS), "left").join(last, list(LEVELS), "left")
     return marked, settle(leaves.select(*LEVELS, "tokens", "budget", "whole", "cut", "last"), "mix-plan")
