@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import plain
+from .common import drawn, plain
 
 if TYPE_CHECKING:
     import numpy as np
@@ -296,7 +296,11 @@ def _before(ends: np.ndarray) -> np.ndarray:
 
 
 def spans(text: Column, model: Model | None) -> Column:
-    """array<struct<kind, start, end, base>> in code points, end exclusive; empty for null texts."""
+    """array<struct<kind, start, end, base>> in code points, end exclusive; empty for null texts.
+
+    Spans of different patterns may overlap; one of the field's touches none of these. Texts of
+    any length are searched whole; equal texts have equal spans.
+    """
     kind = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
     @F.arrow_udf(kind)
@@ -384,7 +388,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     smallest hash of key; half of them at least hold a span if there are enough.
     Lines of more than `longest` characters are not used for training.
     """
-    ids = settle(docs.select(F.col(key).alias("k")).dropna().distinct().orderBy(F.xxhash64("k"), "k").limit(texts), "pii-keys")
+    ids = settle(drawn(docs.select(F.col(key).alias("k")).dropna().distinct(), "k", texts), "pii-keys")
     # At most `texts` keys, whatever the data.
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k")
     lines = chosen.select(F.explode(F.array_distinct(F.split(F.coalesce("t", F.lit("")), "\n"))).alias("line")).filter(F.length("line").between(1, longest)).distinct()

@@ -6,16 +6,18 @@ pass by an Aho-Corasick automaton; a term inside an exception phrase does not co
 The summed weight is set against the length of the text and turned into a score from
 0 to 1 by a logistic curve.
 
-The lexicon, its weights and the curve are fitted on labelled texts, of which at most
-`sample` (those with the smallest key hash) are used; every statistic over the rest of
-the library's data covers all rows.
+The lexicon, its weights, the exceptions and the curve are fitted on labelled texts, of
+which at most `sample` (those with the smallest key hash) are used. Every word whose log
+odds of being toxic are surely over the threshold enters the lexicon, whatever its length. Exceptions are phrases of two or
+three words around such a word that harmless texts hold and toxic ones do not.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,16 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import plain
+from .common import drawn, plain
 
 # Letters of other alphabets that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухікмтвнѕјԁԛԝһαεορυικντρχ", "aeopcyxikmtbhsjdqwhaeopuikvtpx", strict=True))
 # Digits and signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-# Harmless phrases around words that are insults elsewhere.
-EXCEPTIONS = ("pathetic fallacy", "trash can", "trash bin", "trash collection", "clown fish", "pond scum", "sore loser rule", "idiot proof", "moron test")
-
-
 def _fold_table() -> dict[int, str]:
     table = {}
     for point in (*range(0x41, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
@@ -70,8 +68,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * math.log1p(density)))))
 
 
-@lru_cache(maxsize=4)
-def _automaton(weights: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
+def _automaton(weights: Sequence[tuple[str, float]], exceptions: Sequence[str]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -85,10 +82,10 @@ def _automaton(weights: tuple[tuple[str, float], ...], exceptions: tuple[str, ..
     return found
 
 
-def _density(text: str, weights: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]) -> float:
+def _density(text: str, automaton) -> float:
     """Weight of the terms that stand as whole words outside exception phrases, per 100 words."""
     folded = fold(text)
-    automaton, n = _automaton(weights, exceptions), len(folded)
+    n = len(folded)
     hits, spared = [], []
     for last, (length, weight) in automaton.iter(folded) if len(automaton) else ():
         start, end = last + 1 - length, last + 1
@@ -108,12 +105,41 @@ def _density(text: str, weights: tuple[tuple[str, float], ...], exceptions: tupl
     return 100 * total / (20 + folded.count(" ") + folded.count("\n"))
 
 
-def density(text: Column, weights: Sequence[tuple[str, float]], exceptions: Sequence[str] = EXCEPTIONS) -> Column:
+def density(text: Column, weights: Sequence[tuple[str, float]], exceptions: Sequence[str] = ()) -> Column:
     weights, exceptions = tuple(weights), tuple(exceptions)
 
     @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = _automaton(weights, exceptions)
+        for texts in batches:
+            yield pa.array([_density(t, automaton) for t in plain(texts)], pa.float64())
+
+    return run(text)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _around(text: str, terms: frozenset[str]) -> set[str]:
+    """Phrases of two and three words, a space apart, that hold a term."""
+    folded = fold(text)
+    words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+    found = set()
+    for i, (start, end) in enumerate(words):
+        if folded[start:end] not in terms:
+            continue
+        for low, high in ((i - 1, i), (i, i + 1), (i - 2, i), (i - 1, i + 1), (i, i + 2)):
+            if low >= 0 and high < len(words) and all(folded[words[k][1] : words[k + 1][0]] == " " for k in range(low, high)):
+                found.add(folded[words[low][0] : words[high][1]])
+    return found
+
+
+def _phrases(text: Column, terms: Sequence[str]) -> Column:
+    terms = frozenset(terms)
+
+    @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_density(t, weights, exceptions) for t in plain(texts)], pa.float64())
+        return pa.array([sorted(_around(t, terms)) for t in plain(texts)], pa.list_(pa.string()))
 
     return run(text)
 
@@ -141,34 +167,46 @@ def _curve(points: list[tuple[float, int]], rounds: int = 50, ridge: float = 1e-
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, min_docs: int = 3, min_odds: float = 2.0, terms: int = 4_096, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
-    """Fits on at most `sample` labelled texts; at most `terms` words enter the lexicon.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, min_docs: int = 3, min_odds: float = 1.5, surely: float = 1.96, exceptions: Sequence[str] = ()) -> Model:
+    """Fits on at most `sample` labelled texts; `exceptions` are phrases known beforehand.
+
+    A word enters if its log odds less `surely` standard errors reach `min_odds`.
 
-    Rows without key or label are left out. Without usable labels no word has a
-    weight and every score is 0.05, below any verdict.
+    Rows without key or label are left out; any label but 0 is toxic; of several labels of
+    a key the toxic one holds, and equal texts count once. Lexicon and exceptions are as
+    large as these texts' vocabulary at most. Without usable labels no word has a weight and
+    every score is 0.05, below any verdict.
     """
-    chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropna()
-    chosen = chosen.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    chosen = settle(chosen, "toxicity-labels")
+    chosen = labels.select(F.col(key).alias("k"), (F.col(label) != 0).cast("int").alias("y")).dropna()
+    chosen = settle(chosen.groupBy("k").agg(F.max("y").alias("y")), "toxicity-labelled")
+    chosen = settle(drawn(chosen, "k", sample), "toxicity-labels")
     # At most `sample` pairs of numbers: a bound that does not depend on the data.
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    known = settle(known.select("y", F.col("t").alias("t")), "toxicity-texts")
+    # Copies of a text are one witness, not many.
+    known = settle(known.groupBy("t").agg(F.max("y").alias("y")).select("y", "t"), "toxicity-texts")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Model((), tuple(exceptions), math.log(0.05 / 0.95), 0.0)
-    words = known.select("y", F.explode(F.array_distinct(F.split(_folded(F.col("t")), r"[^\p{L}\p{N}]+"))).alias("w")).filter("length(w) between 2 and 40")
+    words = known.select("y", F.explode(F.array_distinct(F.split(_folded(F.col("t")), r"[^\p{L}\p{N}]+"))).alias("w")).filter("w <> ''")
     counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= min_docs)
     odds = F.log((F.col("a") + 0.5) / (bad + 1.0)) - F.log((F.col("b") + 0.5) / (good + 1.0))
-    found = counts.withColumn("odds", odds).filter(F.col("odds") >= min_odds).orderBy(F.desc(F.col("odds") * F.col("a")), "w").limit(terms).collect()
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    found = counts.select("w", odds.alias("odds"), error.alias("error")).filter(F.col("odds") - surely * F.col("error") >= min_odds).orderBy("w").collect()
     weights = tuple((r["w"], float(r["odds"])) for r in found)
-    points = known.select(density(F.col("t"), weights, exceptions).alias("d"), "y").collect()
-    offset, slope = _curve([(r["d"], r["y"]) for r in points])
-    return Model(weights, tuple(exceptions), offset, slope)
+    near = known.select("y", F.explode(_phrases(F.col("t"), [w for w, _ in weights])).alias("p"))
+    near = near.groupBy("p").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter((F.col("a") == 0) & (F.col("b") >= min_docs))
+    spared = (*exceptions, *(r["p"] for r in near.orderBy("p").collect()))
+    points = known.select(density(F.col("t"), weights, spared).alias("d"), "y").collect()
+    offset, slope = _curve(sorted((r["d"], r["y"]) for r in points))
+    return Model(weights, spared, offset, slope)
 
 
 def score(text: Column, model: Model) -> Column:
-    """Score from 0 to 1; null and empty texts get the score of a text without hits."""
+    """Score from 0 to 1; null and empty texts get the score of a text without hits.
+
+    A text of any length is searched whole, in one pass; equal texts get equal scores.
+    """
     x = model.offset + model.slope * F.log1p(density(text, model.weights, model.exceptions))
     return 1 / (1 + F.exp(-x))
 

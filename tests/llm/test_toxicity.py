@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -15,11 +16,13 @@ def scores(spark, texts, model):
 
 @pytest.fixture(scope="module")
 def small(spark):
-    clean = [f"plain words about number{i} and trees" for i in range(60)]
+    clean = [f"plain words about number{i} and trees" for i in range(57)] + [f"this lock{i} is idiot proof today" for i in range(3)]
     bad = [f"you are an idiot and a clown number{i}" for i in range(30)]
     rows = [(i, t, "x") for i, t in enumerate(clean + bad)]
+    # A label given twice, and one that contradicts it: the toxic one holds.
+    labels_more = [(60, 1, 1), (61, 0, 1), (0, 0, 1)]
     docs = spark.createDataFrame([*rows, (None, "idiot", "x"), (200, None, "x")], "doc_id long, text string, y string")
-    labels = spark.createDataFrame([(i, int(i >= 60), 1) for i, *_ in rows] + [(None, 1, 1), (5, None, 1)], "doc_id long, toxic int, k int")
+    labels = spark.createDataFrame([(i, int(i >= 60), 1) for i, *_ in rows] + [(None, 1, 1), (5, None, 1)] + labels_more, "doc_id long, toxic int, k int")
     return toxicity.fit(docs, labels)
 
 
@@ -30,6 +33,39 @@ def test_disguises_and_exceptions(spark, small):
     assert found[6] == found[7] and all(0 <= s <= 1 for s in found)
 
 
+def test_fit_against_brute_force(spark):
+    """Words, weights, exceptions and curve of a small labelled table, by hand."""
+    texts = {
+        0: [f"a good day{i} at the clown show of x" for i in range(3)] + [f"a fine weather{i} here" for i in range(20)] + ["plain alone here"] * 9,
+        1: [f"what a Clown you are{i} scum" for i in range(20)] + [f"q{i} is scum  scum" for i in range(4)] + ["w" * 60 + " zz"] * 9 + [f"{'w' * 60} k{i}" for i in range(12)],
+    }
+    rows = [(t, y) for y in texts for t in texts[y]]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, min_odds=0.0)
+    kinds = {t: max(y for u, y in rows if u == t) for t, _ in rows}
+    bad, good = sum(kinds.values()), len(kinds) - sum(kinds.values())
+    weights = {}
+    for w in {w for t in kinds for w in re.findall(r"\w+", t.lower())}:
+        a, b = (sum(y == side and w in re.findall(r"\w+", t.lower()) for t, y in kinds.items()) for side in (1, 0))
+        odds = math.log((a + 0.5) / (bad + 1)) - math.log((b + 0.5) / (good + 1))
+        if a >= 3 and odds - 1.96 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= 0:
+            weights[w] = odds
+    assert dict(model.weights) == pytest.approx(weights) and "w" * 60 in weights and "a" not in weights
+    phrases = set()
+    for t in kinds:
+        words = t.lower().split(" ")
+        for n in (2, 3):
+            phrases |= {" ".join(words[i : i + n]) for i in range(len(words) - n + 1) if set(words[i : i + n]) & set(weights) and "" not in words[i : i + n]}
+    count = lambda p, side: sum(y == side and bool(re.search(rf"\b{p}\b", t.lower())) for t, y in kinds.items())
+    assert set(model.exceptions) == {p for p in phrases if count(p, 0) >= 3 and not count(p, 1)} and "the clown show" in model.exceptions
+    # The curve's slopes vanish where it was fitted.
+    points = docs.select("doc_id", toxicity.density(F.col("text"), model.weights, model.exceptions).alias("d"), "text").dropDuplicates(["text"]).collect()
+    miss = [(math.log1p(r["d"]), kinds[r["text"]] - model.score(r["d"])) for r in points]
+    for ridge, slope in ((model.offset, [e for _, e in miss]), (model.slope, [x * e for x, e in miss])):
+        assert sum(slope) / len(miss) == pytest.approx(1e-3 * ridge, abs=1e-6)
+
+
 def test_density_against_brute_force(spark):
     weights, spared = (("clown", 1.5), ("scum", 2.0)), ("clown fish",)
     texts = ["clown scum", "clown fish scum", "clowns", "a clown-scum  c1own\nfish", "scum" * 3, "clown fish clown"]
