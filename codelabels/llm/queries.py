@@ -150,17 +150,34 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 URL_RULES = tuple(urls.Rule(*r) for r in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
 
 
-def labelled_urls(pages: DataFrame) -> DataFrame:
-    """URLs on which the editors' rules have spoken: what the filter learns from."""
-    hit = urls.ruled(urls.host(F.col("url")), urls.path(F.col("url")), URL_RULES)
-    return pages.select("url", (hit["verdict"] == "block").cast("int").alias("label")).dropna()
+# The hosts that the filter learns from, to be blocked and to be allowed, each under the same paths.
+BLOCKED_HOSTS = (
+    "www.casino-royal.com", "lucky-casino.example.net", "m.casino-night.example.org", "online-casinos.example.com", "best-slots.com", "free-slots.example.net",
+    "free-gifts.example.com", "www.sport-bets.example.org", "bet-now.example.net", "poker-win.com", "m.texas-poker.net", "win-big-jackpot.example.com",
+    "cheap-pills.com", "pills-online.example.net", "www.viagra-shop.com", "discount-pharma.example.org", "xxx-videos.com", "hot-xxx.net",
+    "adult-cams.example.com", "m.live-cams.example.org", "payday-loans.com", "fast-loan-cash.example.net", "get-rich-quick.com", "cheap-replica-watches.net",
+    "ads-click.example.net", "banner-track.com", "spam-mails.example.com", "link-farm.net", "blog.adult-toys.example.org", "click-ads.org", "traffic-track.example.com", "mail-spam.net",
+)
+ALLOWED_HOSTS = (
+    "www.daily-news.com", "blog.gardening.example.org", "en.wiki.org", "school.edu", "m.weather.example.net", "library.org",
+    "theother.example.com", "tionland.example.net", "www.other.example.org", "blog.there.example.com", "m.thing.example.org", "anthere.example.net",
+    "recipes.com", "museum.example.org", "history.net", "www.physics.org", "train-times.example.com", "docs.software.org",
+    "m.local-paper.example.net", "photos.example.com", "the-onion-farm.com", "city-council.example.org", "astronomy.net", "www.travel-notes.com",
+    "ththal.example.net", "m.ththor.example.org", "thaththe.example.com", "m.ththly.example.net", "hathth.example.com", "www.ouththo.example.net", "thnded.example.org", "blog.thtish.example.net",
+)
+LABELLED_PATHS = ("/", "/en/12", "/de/7.html", "/fr/345/?page=2", "/es/9021#top")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    rows = [(f"http://{host}{path}", label) for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for host in hosts for path in LABELLED_PATHS]
+    return spark.createDataFrame(rows, "url string, label int")
 
 
 @query
 def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     pages = read(spark, folder, "pages")
-    return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(pages)))
+    return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(spark)))
 
 
 @query

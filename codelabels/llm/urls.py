@@ -97,10 +97,10 @@ def _margin(found: Column, offset: float, weights: Sequence[float]) -> Column:
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", size: int = SIZE, grams: Sequence[int] = GRAMS, sample: int = 2_000, rounds: int = 25, rate: float = 0.5, ridge: float = 1e-3) -> Model:
     """Fits on at most `sample` labelled URLs per label, those with the smallest hash.
 
-    Rows without URL or label are left out. Each round is one aggregate over the
+    Rows without URL or label are left out; a URL that is repeated with a label counts once. Each round is one aggregate over the
     sample; its gradient has one number per hashed n-gram, at most `size`.
     """
-    known = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).dropna()
+    known = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).dropna().distinct()
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("url"), "url").limit(sample) for y in (0, 1)]
     rows = picked[0].unionByName(picked[1]).select("y", features(host(F.col("url")), path(F.col("url")), size, grams).alias("f"))
     rows = settle(rows.repartition(2), "url-sample")
@@ -124,7 +124,11 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", size: int =
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: Model, key: str = "page_id", url: str = "url", positive: str = "block", negative: str = "allow", grams: Sequence[int] = GRAMS) -> DataFrame:
-    """Per row: key, host, path, rule, verdict, score. The rule's verdict holds; the model judges where none fits."""
+    """Per row: key, host, path, rule, verdict, score. The rule's verdict holds; the model judges where none fits.
+
+    A null, empty or malformed URL has an empty host and path, no rule, and the score
+    of the model's offset alone. URLs of any length are judged whole; equal rows alike.
+    """
     parts = pages.select(F.col(key), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     scored = parts.select("*", ruled(F.col("host"), F.col("path"), rules).alias("hit"), model.score(features(F.col("host"), F.col("path"), len(model.weights), grams)).alias("score"))
     learnt = F.when(F.col("score") >= 0.5, positive).otherwise(negative)
