@@ -70,6 +70,49 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert sorted(left.counts.collect()) == sorted(line_dedup.start(frame(spark, kept)).counts.collect())
 
 
+def largest_group(state):
+    """Keys in the largest shard, and the size of its filter in slots."""
+    by_shard = state.counts.groupBy(line_dedup._shard(state.shards).alias("s")).count().agg({"count": "max"}).first()[0]
+    return by_shard or 0
+
+
+def test_a_state_that_starts_empty_grows(spark):
+    """Ten insertions into an empty state: shards double, tables stay a few folders, nothing is lost."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"line {rng.randrange(400)} of the pool" for _ in range(12))) for i in range(100)]
+    empty = frame(spark, rows).limit(0)
+    state, shards, folders = line_dedup.start(empty, shard_keys=25), [], []
+    for k in range(10):
+        state = line_dedup.insert(state, frame(spark, rows[10 * k : 10 * k + 10]))
+        shards.append(state.shards)
+        folders.append(max(len(state.held) + len(state.gone), len(state.counted), len(state.filtered)))
+        assert largest_group(state) <= 2 * state.shard_keys
+    assert shards == sorted(shards) and shards[0] > 1 and shards[-1] >= 16
+    assert max(folders) <= line_dedup.PARTS and state.keys == state.counts.count()
+    # However many insertions there were, a table is one scan.
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1 for df in (state.counts, state.filters, state.references))
+    assert found(line_dedup.dedup(frame(spark, rows), state)) == brute(rows)
+    for low in (50, 0):
+        state = line_dedup.delete(state, frame(spark, rows[low : low + 50]).select("doc_id"))
+    assert state.references.count() == state.counts.count() == state.keys == 0
+    # Deleted documents may come back.
+    again = line_dedup.insert(state, frame(spark, rows[:20]))
+    assert found(line_dedup.dedup(frame(spark, rows[:20]), again)) == brute(rows[:20])
+
+
+def test_small_changes_touch_few_shards(spark):
+    rows = sample(60)
+    state = line_dedup.start(frame(spark, rows), shard_keys=3)
+    grown = line_dedup.insert(state, frame(spark, [(900, "own 3 text of it\nand one more line")]))
+    assert grown.shards == state.shards and len(grown.counted) == len(grown.filtered) == 2
+    assert spark.read.parquet(grown.filtered[-1]).count() == 1 and spark.read.parquet(grown.counted[-1]).count() == 2
+    merged = line_dedup._merged(grown, 1)
+    assert len(merged.counted) == len(merged.filtered) == len(merged.held) == 1
+    back = line_dedup.delete(merged, frame(spark, [(900, "")]))
+    assert sorted(back.counts.collect()) == sorted(state.counts.collect())
+    assert sorted(back.references.collect()) == sorted(state.references.collect())
+
+
 def test_empty(spark):
     docs = frame(spark, [(1, "a")]).limit(0)
     assert line_dedup.dedup(docs).collect() == []
