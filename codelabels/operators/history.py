@@ -76,7 +76,8 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     itself; applying them in turn follows a chain of any length in a logarithmic
     number of joins. Other parents of commits found so start the next round, and
     there are as many rounds as merges nest. Only the cursors' repositories take
-    part, and one growing table holds what has been reached.
+    part, and one growing table holds what has been reached. Parents that lead in
+    a circle are an error.
     """
     spark = log.sparkSession
     repos = settle(cursors.select("repo_name").distinct(), "cursor-repositories")
@@ -85,8 +86,10 @@ def ancestors(log: DataFrame, cursors: DataFrame) -> DataFrame:
     first = edges.where("rank = 0").select(*COMMIT, "parent")
     others = edges.where("rank > 0").select(*COMMIT, "parent")
 
-    jumps = [first]
+    jumps, most = [first], edges.count().bit_length()
     while True:
+        if len(jumps) > most + 1:
+            raise ValueError("the parents of a commit lead back to it")
         step = jumps[-1]
         onward = step.select("repo_name", F.col("sha").alias("parent"), F.col("parent").alias("_next"))
         longer = step.join(onward, ["repo_name", "parent"]).select(*COMMIT, F.col("_next").alias("parent"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 SPAN = 1 << 16
 # Above this number Spark no longer cuts ranks off before the shuffle.
 EARLY_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -13,29 +15,39 @@ EARLY_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
 def number_within(
     df: DataFrame, group: str, order: str, position: str = "position", total: str | None = None, span: int = SPAN
 ) -> DataFrame:
-    """Number each group's rows by a whole-number column that is unique in it.
+    """Number each group's rows by a column that is unique in it; rows without a group drop out.
 
-    A plain window would sort a whole group in one task. Here values are cut
-    into spans, so one task sorts at most ``span`` rows; the counts before each
-    span come from a pre-aggregated table of one row per span. ``df`` is read
-    twice, so pass narrow rows.
+    A plain window would sort a whole group in one task. Where there are more than
+    ``span`` rows they are range-partitioned by group and order instead, into parts
+    of about half that number, however the values are spread and whatever a group's
+    size. A row's position is its place in its part plus the group's rows in the
+    parts before, which a table of one row per part and group tells. The rows are
+    written twice, so pass narrow ones; the second time with their part, so that
+    both passes see the same cut.
     """
-    sliced = df.withColumn("_span", F.col(order) - F.pmod(F.col(order), F.lit(span)))
-    counts = sliced.groupBy(group, "_span").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    rows = settle(df.where(F.col(group).isNotNull()), "unnumbered")
+    count = rows.count()
+    if count <= span:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+        return _numbered(rows, group, place, F.count(F.lit(1)).over(Window.partitionBy(group)), position, total)
+    parts = -(-2 * count // span)
+    ranged = settle(rows.repartitionByRange(parts, group, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = settle(ranged.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_rows")), "part-counts")
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         group,
-        "_span",
+        "_part",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(group)).alias("_total"),
-    )
-    inside = Window.partitionBy(group, "_span").orderBy(order)
-    out = sliced.join(offsets, [group, "_span"]).withColumn(
-        position, (F.col("_before") + F.row_number().over(inside)).cast("bigint")
+        F.sum("_rows").over(Window.partitionBy(group)).alias("_all"),
     )
-    if total:
-        out = out.withColumn(total, F.col("_total").cast("bigint"))
-    return out.drop("_span", "_before", "_total")
+    inside = Window.partitionBy(group, "_part").orderBy(order)
+    joined = ranged.join(offsets, [group, "_part"])
+    return _numbered(joined, group, F.col("_before") + F.row_number().over(inside), F.col("_all"), position, total).drop("_part", "_before", "_all")
+
+
+def _numbered(rows: DataFrame, group: str, place: Column, of: Column, position: str, total: str | None) -> DataFrame:
+    out = rows.withColumn(position, place.cast("bigint"))
+    return out.withColumn(total, of.cast("bigint")) if total else out
 
 
 def first_within(df: DataFrame, group: str, order: str, count: int | None, skip: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from .ranking import number_within
 from .results import last_per_stem, without_analysed
 
 
-def pending_files(
+def unnumbered_files(
     contributions: DataFrame,
     results: DataFrame,
     by: str = "sha",
@@ -21,7 +21,7 @@ def pending_files(
     requested: DataFrame | None = None,
     scored: DataFrame | None = None,
 ) -> DataFrame:
-    """Files a run will score: seq, place in the run and the run's length.
+    """Files a run will score: seq, and the place their name first took.
 
     Works on narrow columns throughout. Contributions without text cannot
     become files and do not replace an earlier one of the same name; pass
@@ -41,7 +41,20 @@ def pending_files(
     named = without_analysed(narrow, results, by).select(
         "seq", "repo_name", stem(F.col("temp_filepath")).alias("filename")
     )
-    return number_within(last_per_stem(named), "repo_name", "run_order", "done", "total")
+    return last_per_stem(named)
+
+
+def pending_files(
+    contributions: DataFrame,
+    results: DataFrame,
+    by: str = "sha",
+    content_complete: bool = False,
+    requested: DataFrame | None = None,
+    scored: DataFrame | None = None,
+) -> DataFrame:
+    """The files of :func:`unnumbered_files` with their place in the run (``done``) and its length."""
+    files = unnumbered_files(contributions, results, by, content_complete, requested, scored)
+    return number_within(files, "repo_name", "run_order", "done", "total")
 
 
 def with_text(pending: DataFrame, contributions: DataFrame) -> DataFrame:

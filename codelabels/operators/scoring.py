@@ -9,6 +9,7 @@ text outlives scoring.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,10 +20,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, UnivariateFeatureSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import TOKENS, join_words, tokenize
 from ..functions.values import decide
 from ..schemas import LABELS, THRESHOLD
+from ..session import settle
+from ..sources import seen
 
 MIN_HITS = 8
 # Label number -> initials of the tokens that speak for it: a..z, then the rest.
@@ -68,10 +72,12 @@ class RuleScorer:
 class ArrowScorer:
     """Scores batches of windows with any Python model.
 
-    ``load`` runs once per Python task and returns a function from a list of
-    texts to a (texts x labels) array of logits. It gets at most ``batch`` texts
-    at a time, whatever the size of Arrow's batches. Texts that fail together
-    are retried one by one, so an error marks only the window it belongs to.
+    ``load`` runs once per Python worker, which serves many tasks, and returns a
+    function from a list of texts to a (texts x labels) array of logits. It gets
+    at most ``batch`` texts at a time, whatever the size of Arrow's batches, and
+    texts of like length together, as models fill texts up to the longest one.
+    Texts that fail together are retried one by one, so an error marks only the
+    window it belongs to.
     """
 
     load: Callable[[], Callable[[list[str]], np.ndarray]]
@@ -79,13 +85,21 @@ class ArrowScorer:
     threshold: float = THRESHOLD
     batch: int = 256
     parts: int | None = None
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __call__(self, windows: DataFrame) -> DataFrame:
-        load, width, size = self.load, len(self.labels), self.batch
+        load, width, size, token = self.load, len(self.labels), self.batch, self.token
 
         @F.pandas_udf("logits array<double>, elapsed_time double, error string")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            predict = load()
+            import sys
+
+            # Kept in the worker, not in this function, which every task gets anew. One model at a time.
+            kept = vars(sys).setdefault("_codelabels_model", {})
+            if token not in kept:
+                kept.clear()
+                kept[token] = load()
+            predict = kept[token]
 
             def one(code: str):
                 try:
@@ -103,7 +117,12 @@ class ArrowScorer:
                 begun = time.perf_counter()
                 known = codes.notna()
                 texts = codes[known].tolist()
-                pairs = [pair for at in range(0, len(texts), size) for pair in some(texts[at : at + size])]
+                order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+                pairs = [None] * len(texts)
+                for at in range(0, len(texts), size):
+                    chosen = order[at : at + size]
+                    for i, pair in zip(chosen, some([texts[i] for i in chosen]), strict=True):
+                        pairs[i] = pair
                 share = (time.perf_counter() - begun) / max(len(codes), 1)
                 found = iter(pairs)
                 rows = [next(found) if k else (None, None) for k in known]
@@ -122,6 +141,57 @@ class ArrowScorer:
         )
 
 
+VERDICT = StructType(
+    [
+        StructField("window", StringType()),
+        StructField("prediction", ArrayType(IntegerType())),
+        StructField("elapsed_time", DoubleType()),
+    ]
+)
+
+
+@dataclass
+class ScoreOnce:
+    """Scores each distinct window once, now and in later runs.
+
+    Versions of a file share most of their windows. Here windows are known by the
+    hash of their text. Only texts without a kept verdict go to ``scorer``, each
+    once; verdicts without an error are added to ``index`` (:mod:`..sources.seen`)
+    and found there by later runs at the cost of what they ask. Keep one index per
+    model. Windows are cut twice, once for their hashes and once for the texts that
+    are new, so this pays where a model costs more than cutting does.
+    """
+
+    scorer: Callable
+    index: str
+
+    @property
+    def labels(self) -> list[str]:
+        return self.scorer.labels
+
+    @property
+    def can_fail(self) -> bool:
+        return getattr(self.scorer, "can_fail", True)
+
+    def __call__(self, windows: DataFrame) -> DataFrame:
+        spark = windows.sparkSession
+        hashed = windows.withColumn("window", F.sha2("code", 256))
+        places = settle(hashed.drop("code"), "window-places")
+        asked = settle(places.select("window").where(F.col("window").isNotNull()).distinct(), "window-hashes")
+        known = settle(seen.lookup(spark, self.index, asked, "window", VERDICT).select(*VERDICT.fieldNames()), "window-known")
+        new = settle(asked.join(known, "window", "left_anti"), "window-new")
+        texts = hashed.select("window", "code").join(new, "window", "left_semi")
+        scored = self.scorer(texts.groupBy("window").agg(F.first("code").alias("code")))
+        for name, kind in (("elapsed_time", "double"), ("error", "string")):
+            if name not in scored.columns:
+                scored = scored.withColumn(name, F.lit(0.0 if kind == "double" else None).cast(kind))
+        scored = settle(scored.select(*VERDICT.fieldNames(), "error"), "window-verdicts")
+        seen.remember(spark, self.index, scored.where("error is null").drop("error"), "window", uuid.uuid4().hex, 0)
+        verdicts = scored.unionByName(known.withColumn("error", F.lit(None).cast("string")))
+        # Hot windows, such as the empty one, meet a plain table of one row each: AQE can split them.
+        return places.join(settle(verdicts, "window-all"), "window", "left").drop("window")
+
+
 def rule_model(labels: int = len(LABELS), min_hits: int = MIN_HITS) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """The rule of :class:`RuleScorer` as a loadable Python model."""
 

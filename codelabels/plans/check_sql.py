@@ -10,6 +10,7 @@ from __future__ import annotations
 from ..schemas import LABELS
 from ..sources.derived import check_sql
 
+# Line breaks and blanks, and in the functions below the patterns that decide results.
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PATH_BASE = "/data/" + "x" * 211

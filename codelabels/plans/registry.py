@@ -407,6 +407,15 @@ def u2_arrow(spark: SparkSession, folder: str) -> DataFrame:
     return _fired(scorer(windows.line_windows(_lines(spark, folder), *GRIDS["6_3"])))
 
 
+@query("u2_score_once", WINDOW_COUNTS_SQL)
+def u2_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window's labels from verdicts kept by content: half the files are scored first, then all are asked."""
+    scorer = scoring.ScoreOnce(scoring.ArrowScorer(scoring.rule_model()), fresh_path(spark, "verdicts"))
+    wins = windows.line_windows(_lines(spark, folder), *GRIDS["6_3"])
+    scorer(wins.where("seq % 2 = 0"))
+    return _fired(scorer(wins))
+
+
 def _trained(spark: SparkSession, folder: str) -> dict:
     """Two classifiers fitted on the labelled documents (fitting is not an operator)."""
     texts = derive(spark, folder, "contributions").select(F.col("seq").alias("doc_id"), "file_content")

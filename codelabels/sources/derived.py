@@ -244,23 +244,24 @@ def sql_text(name: str, dialect: str) -> str:
     return text
 
 
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], str] = {}
 
 
 def keep(spark: SparkSession, folder: str) -> None:
     """Writes all engine tables of a folder once; :func:`derive` reads them from then on.
 
-    For measurements, which should show the queries and not the derivation.
+    For measurements, which should show the queries and not the derivation. Other
+    applications derive their own.
     """
     for name in TABLES:
         place = fresh_path(spark, f"derived-{name}")
         derive(spark, folder, name).write.parquet(place)
-        _KEPT[folder, name] = place
+        _KEPT[spark.sparkContext.applicationId, folder, name] = place
 
 
 def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """An engine table as a lazy frame over the Parquet tables in ``folder``."""
-    if place := _KEPT.get((folder, name)):
+    if place := _KEPT.get((spark.sparkContext.applicationId, folder, name)):
         return spark.read.parquet(place)
     inputs = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES[name][0]}
     return spark.sql(sql_text(name, "spark"), **inputs)

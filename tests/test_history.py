@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
 from codelabels.operators import history, ranking
 from codelabels.schemas import COMMIT_PATCHES, COMMITS_LOG
+from codelabels.session import shared_folder
 
 START = datetime(2024, 1, 1)
 
@@ -101,3 +103,26 @@ def test_ancestors_of_a_root_are_none(spark):
     log = make_log(spark, [("r", "a", "x", START, ["b"], 1), ("r", "b", "x", START, [], 2)])
     cursors = spark.createDataFrame([("r", "b")], "repo_name string, sha string")
     assert history.ancestors(log, cursors).collect() == []
+
+
+def test_sparse_numbers_are_spread(spark):
+    """Ids over the whole range of longs, most of them in one repository: no part is above the span."""
+    rng = random.Random(5)
+    ids = rng.sample(range(-(1 << 60), 1 << 60), 4000)
+    rows = [("hot" if i % 3 else f"r{i % 11}", n) for i, n in enumerate(ids)] + [(None, 1), (None, 2)]
+    frame = spark.createDataFrame(rows, "repo_name string, n long")
+    out = ranking.number_within(frame, "repo_name", "n", total="all", span=500)
+    wanted = {}
+    for repo in {r for r, _ in rows if r}:
+        mine = sorted(n for r, n in rows if r == repo)
+        wanted |= {(repo, n): (k + 1, len(mine)) for k, n in enumerate(mine)}
+    assert {(r["repo_name"], r["n"]): (r["position"], r["all"]) for r in out.collect()} == wanted
+    parts = sorted(Path(shared_folder(spark)).glob("ranged-*"), key=lambda p: p.stat().st_mtime)[-1]
+    sizes = [r["count"] for r in spark.read.parquet(str(parts)).groupBy("_part").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 500
+
+
+def test_parents_in_a_circle_are_an_error(spark):
+    log = spark.createDataFrame([("r", f"c{i}", [f"c{(i + 1) % 5}"]) for i in range(5)], "repo_name string, sha string, parent_shas array<string>")
+    with pytest.raises(ValueError, match="lead back"):
+        history.ancestors(log, log.where("sha = 'c0'"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelabels.operators import results, runs
-from codelabels.operators.scoring import ArrowScorer, RuleScorer, rule_model
+from codelabels.operators.scoring import ArrowScorer, RuleScorer, ScoreOnce, rule_model
 from codelabels.plans import jobs
 from codelabels.schemas import ANALYSIS_RESULTS, CONTRIBUTIONS, LABELS, REPOSITORIES
 from codelabels.session import settle
@@ -169,3 +169,60 @@ def test_wide_export_needs_every_label(spark):
     assert (row["K1"], row["K2"]) == (1, 0)
     with pytest.raises(Exception, match="K28"):
         results.wide_labels(stored, ["K1", "K28"]).collect()
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    """Two hundred tasks: as many loads as Python workers, and batches of texts of like length."""
+    place = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{place}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def predict(texts):
+            open(f"{place}/batch-{uuid.uuid4().hex}", "w").write(f"{min(map(len, texts))} {max(map(len, texts))}")
+            return np.zeros((len(texts), 27)) + 1
+
+        return predict
+
+    frame = spark.range(4000).select("id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("code")).repartition(200)
+    assert ArrowScorer(load, batch=4)(frame).where("prediction[0] = 1").count() == 4000
+    loads = [p.name.split("-")[1] for p in tmp_path.glob("load-*")]
+    assert len(loads) == len(set(loads)) <= 8
+    spread = [int(b) - int(a) for a, b in (p.read_text().split() for p in tmp_path.glob("batch-*"))]
+    assert sum(spread) / len(spread) < 20
+
+
+def test_each_distinct_window_is_scored_once(spark, tmp_path):
+    place = str(tmp_path / "seen")
+    (tmp_path / "seen").mkdir()
+
+    def load():
+        import uuid
+
+        score = rule_model()()
+
+        def predict(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot read")
+            open(f"{place}/{uuid.uuid4().hex}", "w").write("\n".join(texts))
+            return score(texts)
+
+        return predict
+
+    scored = lambda: sorted(t for p in (tmp_path / "seen").iterdir() for t in p.read_text().split("\n"))
+    rows = [(i, None if i == 7 else "bad" if i == 8 else WORDS + str(i % 5)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id int, code string")
+    once = ScoreOnce(ArrowScorer(load), str(tmp_path / "index"))
+    first = {r["id"]: (r["prediction"], r["error"]) for r in once(frame).collect()}
+    assert scored() == [WORDS + str(i) for i in range(5)]
+    plain = {r["id"]: (r["prediction"], r["error"]) for r in ArrowScorer(load)(frame).collect()}
+    assert first == plain and first[7] == (None, None) and first[8][1] == "cannot read"
+    for p in (tmp_path / "seen").iterdir():
+        p.write_text("")
+    # A later run scores what is new; what failed is tried again.
+    more = spark.createDataFrame([*rows, (99, WORDS + "new")], "id int, code string")
+    again = {r["id"]: (r["prediction"], r["error"]) for r in once(more).collect()}
+    assert {k: v for k, v in again.items() if k != 99} == plain and [t for t in scored() if t] == [WORDS + "new"]
