@@ -7,8 +7,8 @@ The summed weight is set against the length of the text and turned into a score
 0 to 1 by a logistic curve.
 
 The lexicon, its weights, the exceptions and the curve are fitted on labelled texts, of
-which at most `sample` (those with the smallest key hash) are used. Every word whose log
-odds of being toxic are surely over the threshold enters the lexicon, whatever its length. Exceptions are phrases of two or
+which at most `sample` (those with the smallest key hash) are used. Every word over the
+odds threshold, and too one-sided for chance, enters the lexicon, whatever its length. Exceptions are phrases of two or
 three words around such a word that harmless texts hold and toxic ones do not.
 """
 
@@ -167,10 +167,12 @@ def _curve(points: list[tuple[float, int]], rounds: int = 50, ridge: float = 1e-
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, min_docs: int = 3, min_odds: float = 1.5, surely: float = 1.96, exceptions: Sequence[str] = ()) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, min_docs: int = 3, min_odds: float = 2.0, chance: float = 0.05, exceptions: Sequence[str] = ()) -> Model:
     """Fits on at most `sample` labelled texts; `exceptions` are phrases known beforehand.
 
-    A word enters if its log odds less `surely` standard errors reach `min_odds`.
+    A word of `min_docs` toxic texts or more enters if its log odds reach `min_odds` and
+    if its texts, dealt at random, would be as one-sided with a probability (by Chernoff's
+    bound) below `chance` over the number of such words.
 
     Rows without key or label are left out; any label but 0 is toxic; of several labels of
     a key the toxic one holds, and equal texts count once. Lexicon and exceptions are as
@@ -190,9 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model((), tuple(exceptions), math.log(0.05 / 0.95), 0.0)
     words = known.select("y", F.explode(F.array_distinct(F.split(_folded(F.col("t")), r"[^\p{L}\p{N}]+"))).alias("w")).filter("w <> ''")
     counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= min_docs)
+    counts, share = settle(counts, "toxicity-words"), bad / (bad + good)
     odds = F.log((F.col("a") + 0.5) / (bad + 1.0)) - F.log((F.col("b") + 0.5) / (good + 1.0))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    found = counts.select("w", odds.alias("odds"), error.alias("error")).filter(F.col("odds") - surely * F.col("error") >= min_odds).orderBy("w").collect()
+    n = F.col("a") + F.col("b")
+    proof = F.col("a") * F.log(F.col("a") / n / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / (1 - share))).otherwise(F.lit(0.0))
+    found = counts.select("w", odds.alias("odds"), proof.alias("proof")).filter((F.col("odds") >= min_odds) & (F.col("proof") >= math.log(max(1, counts.count()) / chance))).orderBy("w").collect()
     weights = tuple((r["w"], float(r["odds"])) for r in found)
     near = known.select("y", F.explode(_phrases(F.col("t"), [w for w, _ in weights])).alias("p"))
     near = near.groupBy("p").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter((F.col("a") == 0) & (F.col("b") >= min_docs))

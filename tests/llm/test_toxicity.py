@@ -36,7 +36,7 @@ def test_disguises_and_exceptions(spark, small):
 def test_fit_against_brute_force(spark):
     """Words, weights, exceptions and curve of a small labelled table, by hand."""
     texts = {
-        0: [f"a good day{i} at the clown show of x" for i in range(3)] + [f"a fine weather{i} here" for i in range(20)] + ["plain alone here"] * 9,
+        0: [f"a good day{i} at the clown show of x" for i in range(3)] + [f"a fine weather{i} here" for i in range(60)] + ["plain alone here"] * 9,
         1: [f"what a Clown you are{i} scum" for i in range(20)] + [f"q{i} is scum  scum" for i in range(4)] + ["w" * 60 + " zz"] * 9 + [f"{'w' * 60} k{i}" for i in range(12)],
     }
     rows = [(t, y) for y in texts for t in texts[y]]
@@ -45,11 +45,15 @@ def test_fit_against_brute_force(spark):
     model = toxicity.fit(docs, labels, min_odds=0.0)
     kinds = {t: max(y for u, y in rows if u == t) for t, _ in rows}
     bad, good = sum(kinds.values()), len(kinds) - sum(kinds.values())
-    weights = {}
+    weights, seen = {}, {}
     for w in {w for t in kinds for w in re.findall(r"\w+", t.lower())}:
-        a, b = (sum(y == side and w in re.findall(r"\w+", t.lower()) for t, y in kinds.items()) for side in (1, 0))
+        seen[w] = tuple(sum(y == side and w in re.findall(r"\w+", t.lower()) for t, y in kinds.items()) for side in (1, 0))
+    seen = {w: ab for w, ab in seen.items() if ab[0] >= 3}
+    for w, (a, b) in seen.items():
         odds = math.log((a + 0.5) / (bad + 1)) - math.log((b + 0.5) / (good + 1))
-        if a >= 3 and odds - 1.96 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= 0:
+        share = bad / (bad + good)
+        proof = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0)
+        if odds >= 0 and proof >= math.log(len(seen) / 0.05):
             weights[w] = odds
     assert dict(model.weights) == pytest.approx(weights) and "w" * 60 in weights and "a" not in weights
     phrases = set()
