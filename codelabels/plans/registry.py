@@ -1243,7 +1243,7 @@ def q12_trained(spark: SparkSession, folder: str) -> DataFrame:
     model, place = _stacked(spark, folder), fresh_path(spark, "export")
     wins = windows.line_windows(windows.file_lines(found.select("filename", "file_content"))).select("filename", "code")
     per_model = results.any_window_per_model(stacked.classify(wins, model), ["filename"])
-    files.export_csv(jobs.label_table(per_model, found, list(model.labels)), place)
+    files.export_csv(jobs.label_table(per_model, found, list(model.labels)), place, model.labels)
     wide = spark.read.option("header", True).schema(f"filename string, author string, timestamp string, sha string, {', '.join(f'{k} int' for k in model.labels)}").csv(place)
     shown = wide.select("filename", F.inline(F.array(*[F.struct(F.lit(k).alias("model"), (F.col(k) == 1).alias("detected")) for k in model.labels])))
     joined_ = _numbered(shown).join(_recomputed(wins, model, "filename"), ["filename", "model"])
