@@ -130,3 +130,44 @@ def test_very_long_numbers(spark, tmp_path):
 def test_query_without_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_pii(spark, str(tmp_path)).collect() == []
+
+
+# Sentences that the field has not seen; [kind|text] marks what it should find.
+HELD_OUT = (
+    "you can call [phone|(089) 555-0173] after five",
+    "ring [phone|0171 555 0188] if the door is shut",
+    "office [phone|555.010.9921] and fax [phone|555.010.9922]",
+    "her number is [phone|0044 20 5550 0177] she said",
+    "reach us at [phone|+44 (20) 5550-0123] today",
+    "mobile [phone|555-0143] or leave a note",
+    "paid by card [card|4222 2222 2222 2221] yesterday",
+    "the card [card|5105-1051-0510-5101] was refused",
+    "old card [card|4012888888881880] is blocked",
+    "write to [email|admin@localhost] for access",
+    "ask [email|maria.k@intranet] about the keys",
+    "mail [email|news@list.example.net] to join",
+    "node [ip|10.1.2.300] does not answer",
+    "servers [ip|172.16.0.4] and [ip|172.16.0.5] are up",
+    "version 10.4.2 came out in 2019 with 310 changes",
+    "see table 12 on page 340 for the 1500 entries",
+    "the town had 45,200 people in 1987",
+    "meet at 17:45 on 2022-11-30 in room 204",
+    "build 20394 weighs 12.5 kg and has 4 parts",
+    "rows 10-20 and 35-40 were empty",
+    "nothing of this kind is in here at all",
+    "key 9f86d081884c7d659a2feaa0c55ad015 is not secret",
+)
+
+
+def test_held_out_sentences(spark):
+    """Precision and recall of patterns and field together, by spans that meet a marked one of their kind."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = wanted = right = hit = 0
+    for sentence in HELD_OUT:
+        text, marks = pii.parse_example(sentence)
+        spans = [(a, k, b) for a, k, b, _ in pii.found_spans([text], model)[0]]
+        meets = lambda s, many: any(s[1] == k and s[0] < b and a < s[2] for a, k, b in many)
+        found, wanted = found + len(spans), wanted + len(marks)
+        right, hit = right + sum(meets(s, marks) for s in spans), hit + sum(meets(m, spans) for m in marks)
+    print(f"precision {right}/{found}, recall {hit}/{wanted}")
+    assert right >= 0.8 * found and hit >= 0.7 * wanted
