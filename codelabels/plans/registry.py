@@ -17,7 +17,7 @@ from ..functions import paths, text, values
 from ..operators import catalog, history, patches, ranking, results, runs, scoring, stacked, windows
 from ..schemas import ANALYSIS_RESULTS, CLASSIFIER_LABELS, COMMIT_LIMIT, LABELS, NO_COMMITS, STATUS_LOG, create_tables
 from ..session import fresh_path, settle
-from ..sources import files, manifest, tables
+from ..sources import files, lineage, manifest, tables
 from ..sources.derived import derive
 from ..streaming import jobs as streams
 from ..streaming import runs as followed
@@ -586,6 +586,16 @@ def l3_graph(spark: SparkSession, folder: str) -> DataFrame:
     return history.touching(found, derive(spark, folder, "commit_patches")).select("repo_name", "sha", "ordinal")
 
 
+@query("l3_older_history_index", CHECKS["l3_older_history_branching"])
+def l3_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The page after the hundredth commit, by an index that older and newer commits reach one after the other."""
+    log, table = _commits(spark, folder), fresh_path(spark, "lineage")
+    lineage.extend(spark, table, log.where("ordinal >= 100"))
+    lineage.extend(spark, table, log)
+    found = lineage.older(spark, table, log, log.where("ordinal = 100"))
+    return history.touching(found, derive(spark, folder, "commit_patches")).select("repo_name", "sha", "ordinal")
+
+
 @query(
     "l6_first_active_days",
     f"{_LOG}, ranked as (select *, dense_rank() over (partition by repo_name, date_trunc('month', committed_at) order by cast(committed_at as date)) as d from commits_log_t) "

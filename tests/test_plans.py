@@ -18,7 +18,7 @@ from codelabels.schemas import ANALYSIS_RESULTS, CONTRIBUTIONS, REPOSITORIES
 
 WHEN = datetime(2024, 1, 1)
 # These write tables or fit models while they are being built.
-EAGER = re.compile(r"^(u1|u3|q12|u2_score_once|l3_older_history_branching|s1|s7|s8|s9|s11|q12|p1_analysis_streaming|p1_run_over_batches|p4_extract_streaming|m._[a-z]+_job|q6|a6|p2_error|q8)")
+EAGER = re.compile(r"^(u1|u3|q12|u2_score_once|l3_older_history_branching|l3_older_history_index|s1|s7|s8|s9|s11|q12|p1_analysis_streaming|p1_run_over_batches|p4_extract_streaming|m._[a-z]+_job|q6|a6|p2_error|q8)")
 
 
 @contextmanager
