@@ -1106,8 +1106,11 @@ for _grid in GRIDS:
     _run_queries(_grid)
 
 
-@query("p1_analysis_streaming", sql.analysis_sql(*GRIDS["35_25"], f"select {RUN_ROW.replace(', progress', '')} from saved"))
-def p1_stream(spark: SparkSession, folder: str) -> DataFrame:
+STREAM_SQL = sql.analysis_sql(*GRIDS["35_25"], f"select {RUN_ROW.replace(', progress', '')} from saved")
+
+
+def _streamed(spark: SparkSession, folder: str) -> str:
+    """Where a stream over the contributions has put its results."""
     source, place = fresh_path(spark, "contributions"), fresh_path(spark, "results")
     contributions = derive(spark, folder, "contributions")
     # Files of about equal size: commits and colliding names spread over many batches.
@@ -1116,13 +1119,29 @@ def p1_stream(spark: SparkSession, folder: str) -> DataFrame:
     tables.append_results(derive(spark, folder, "analysis_results"), analysed)
     stream = spark.readStream.schema(contributions.schema).option("maxFilesPerTrigger", 3).parquet(source)
     streams.stream_analysis(stream, place, fresh_path(spark, "stream-state"), earlier=analysed)
-    stored = streams.stream_results(spark, place)
+    return place
+
+
+def _stream_rows(stored: DataFrame) -> DataFrame:
     return stored.select(
         "repo_name", "filename", "author", values.iso(F.col("timestamp")).alias("timestamp"), "sha",
         values.encode_map(F.col("detected")).alias("detected"),
     )
 
 
+@query("p1_analysis_streaming", STREAM_SQL)
+def p1_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _stream_rows(streams.stream_results(spark, _streamed(spark, folder)))
+
+
+@query("p1_analysis_streaming_merged", STREAM_SQL)
+def p1_stream_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows after the stream's closed batches have been merged."""
+    place = _streamed(spark, folder)
+    streams.merge_results(spark, place)
+    return _stream_rows(streams.stream_results(spark, place))
+
+
 _URL = "concat('https://github.com/apache/', repo_name)"
 EVENT_SQL = sql.analysis_sql(
     *GRIDS["35_25"],
