@@ -33,6 +33,16 @@ def test_read_directory(spark, tmp_path):
         files.read_directory(spark, str(tmp_path)).collect()
 
 
+def test_write_directory(spark, tmp_path):
+    """Every row a file, also equal numbers, empty and missing texts; tasks write them, no writer of Spark's moves them."""
+    rows = [(1, "a\r\nb"), (2, None), (3, ""), (4, "x"), (4, "é"), (4, "x")]
+    files.write_directory(spark.createDataFrame(rows, "n long, body string"), f"file://{tmp_path}/made", "n", "body")
+    written = sorted((p.parent.name, p.read_bytes().decode()) for p in (tmp_path / "made").rglob("*") if p.is_file())
+    assert written == sorted((f"n={n}", (body or "") + "\n") for n, body in rows)
+    read = files.read_directory(spark, f"{tmp_path}/made/n=*", "txt", folders=1).collect()
+    assert sorted((r["filename"].split("/")[0], r["file_content"]) for r in read) == sorted((f"n={n}", (body or "").replace("\r\n", "\n") + "\n") for n, body in rows)
+
+
 def test_csv_export(spark, tmp_path):
     row = (1, "f", "dev, x", WHEN, "s", {"K2": 1, "K3": 0}, 0.1, "r")
     files.export_csv(spark.createDataFrame([row], ANALYSIS_RESULTS), str(tmp_path / "csv"), ["K2", "K3"])
