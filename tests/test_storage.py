@@ -14,7 +14,7 @@ from codelabels.plans import jobs
 from codelabels.schemas import ANALYSIS_RESULTS, COMMIT_FILES, COMMIT_PATCHES, COMMITS_LOG, CONTRIBUTIONS, STATUS_LOG, create_tables
 from codelabels.session import shared_folder
 from codelabels.sources import files, tables
-from codelabels.streaming.jobs import read_batches, stream_analysis, stream_contributions, stream_results
+from codelabels.streaming.jobs import PART, PARTS, by_commit, per_batch, read_batches, stream_analysis, stream_contributions, stream_results
 
 WHEN = datetime(2024, 1, 2, 3, 4, 5, 120)
 WORDS = "apple avocado ant arm axe air ale ash;"
@@ -167,6 +167,34 @@ def test_streamed_extraction_equals_batch(spark, tmp_path):
     assert stored.select("seq").distinct().count() == stored.count()
 
 
+def test_streamed_extraction_reads_the_parts_of_its_commits(spark, tmp_path):
+    """A batch of commits of a single part touches no other part: one that cannot be read does no harm."""
+    log = spark.createDataFrame([("r", f"c{i}", "dev", WHEN, ["c"], i) for i in range(20)], COMMITS_LOG)
+    part = by_commit(log).groupBy(PART).count().orderBy(F.desc("count"), PART).first()[0]
+    mine, other = by_commit(log).where(F.col(PART) == part).drop(PART), (part + 1) % PARTS
+    contents = log.select("repo_name", "sha", F.lit("p.java").alias("path"), F.lit("class A {\n  int a;\n}\n").cast("binary").alias("content"))
+    diffs = log.select("repo_name", "sha", F.lit("p.java").alias("a_path"), F.lit("p.java").alias("b_path"), F.lit("@@ -1 +1,2 @@\n class A {\n+  int a;\n").alias("patch"))
+    kept = []
+    for name, table in (("files", contents), ("patches", diffs)):
+        place = str(tmp_path / name)
+        tables.save_table(by_commit(table), place, partition=PART)
+        (tmp_path / name / f"{PART}={other}").mkdir(exist_ok=True)
+        (tmp_path / name / f"{PART}={other}" / "part-broken.parquet").write_text("no table")
+        kept.append(spark.read.schema(by_commit(table).schema).parquet(place))
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    mine.write.parquet(source)
+    stream_contributions(spark.readStream.schema(COMMITS_LOG).parquet(source), *kept, out, str(tmp_path / "state"), base="/t")
+    key = lambda df: sorted((r["sha"], r["temp_filepath"], r["changed_lines"]) for r in df.collect())
+    found = key(read_batches(spark, out, CONTRIBUTIONS))
+    assert found and found == key(jobs.extract_contributions(mine, contents, diffs, base="/t"))
+
+
+def test_batches_grow_with_what_waits():
+    assert [per_batch(n, 3) for n in (0, 6, 24, 25, 308)] == [3, 3, 3, 4, 39]
+    assert all(-(-n // per_batch(n, 3)) <= 8 for n in range(2000))
+    assert [per_batch(n, 1, 4) for n in (4, 5, 300)] == [1, 2, 75]
+
+
 def test_classifiers_and_registry(spark, tmp_path):
     rows = [(i, "alpha beta gamma" if i % 2 else "delta eps zeta", float(i % 2)) for i in range(20)]
     train = spark.createDataFrame(rows, "id int, tokens string, label double")
