@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import random
 
 import pytest
@@ -155,3 +157,17 @@ def test_threshold_is_strict(apply):
 def test_maps(apply):
     texts = ['{"K1":1,"K2":0}', "{}", None]
     assert apply(lambda c: values.encode_map(values.decode_map(c)), texts) == texts
+
+
+def test_short_classes_take_in_the_same_characters(apply):
+    """Java's own classes stand for the spelled-out ones: every character up to U+30FF, beside Python's ranges."""
+    from codelabels.operators.scoring import token_initials
+
+    points = [p for p in range(1, 0x3100)]
+    assert text.JAVA_TOKENS == r"[\w$]+"
+    texts = [f"Ab {chr(p)}c{chr(p)}{chr(p)} d" for p in points]
+    assert apply(text.tokenize, texts) == [re.findall(text.TOKENS, t) for t in texts]
+    firsts = ["".join(w[0] for w in re.findall(text.TOKENS, t)).lower() for t in texts]
+    assert apply(token_initials, texts) == firsts
+    breaks = {0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029}
+    assert [len(x) for x in apply(text.split_lines, [f"a{chr(p)}b" for p in points])] == [2 if p in breaks else 1 for p in points]
