@@ -117,3 +117,25 @@ def test_line_acceptance_column(spark):
     rows = spark.createDataFrame([("+ b();",), ("+ // b",), ("+",), ("+ *",)], "line string")
     out = rows.select(patches.line_accepted(F.col("line"), F.lit("a\n b();\n *")).alias("ok")).collect()
     assert [r["ok"] for r in out] == [True, False, False, False]
+
+
+def test_every_break_ends_a_patch_line(spark):
+    """CR LF is one break, each other separator is one as well, also before a hunk."""
+    for mark in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"):
+        patch = mark.join(["head", "@@ -1 +3,2 @@", " a", "-b", "+c", "@@ -9 +20 @@", "+c", "+d", ""])
+        row = spark.createDataFrame([(patch, "c")], "patch string, cleaned string")
+        found = row.select(patches.changed_lines(F.col("patch"), F.col("cleaned")).alias("n"), patches.hunk_lines(F.col("patch")).alias("l")).first()
+        assert found["n"] == [4, 20], repr(mark)
+        assert [x for x in found["l"] if x.startswith("+")] == ["+c", "+c", "+d"]
+
+
+def test_no_row_is_built_for_a_line(spark):
+    plan = spark.createDataFrame([("", "")], "patch string, cleaned string").select(patches.changed_lines(F.col("patch"), F.col("cleaned")))
+    assert "number" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_acceptance_is_judged_once(spark):
+    from codelabels.plans.registry import QUERIES
+
+    text = QUERIES["f9_line_acceptance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Contains(cleaned") == 1
