@@ -126,3 +126,15 @@ def test_parents_in_a_circle_are_an_error(spark):
     log = spark.createDataFrame([("r", f"c{i}", [f"c{(i + 1) % 5}"]) for i in range(5)], "repo_name string, sha string, parent_shas array<string>")
     with pytest.raises(ValueError, match="lead back"):
         history.ancestors(log, log.where("sha = 'c0'"))
+
+
+def test_rounds_move_numbers_and_not_names(spark, monkeypatch):
+    """What is written in each round of a walk has no text; repeated commits and unknown parents change nothing."""
+    kept, real = [], history.settle
+    monkeypatch.setattr(history, "settle", lambda df, name: kept.append((name, df.schema)) or real(df, name))
+    rows = [("r", f"c{i}", [f"c{i + 1}"] if i < 20 else ["nowhere"]) for i in range(21)]
+    log = spark.createDataFrame(rows + rows[5:8], "repo_name string, sha string, parent_shas array<string>")
+    found = history.ancestors(log, log.where("sha = 'c3'").select("repo_name", "sha")).collect()
+    assert sorted(r["sha"] for r in found) == sorted([f"c{i}" for i in range(4, 21)] + ["c5", "c6", "c7"])
+    rounds = [schema for name, schema in kept if name in ("edges", "steps", "frontier", "reached")]
+    assert len(rounds) > 4 and all(f.dataType.typeName() in ("long", "integer") for schema in rounds for f in schema)
