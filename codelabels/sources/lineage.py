@@ -61,15 +61,19 @@ def extend(spark: SparkSession, table: str, log: DataFrame) -> Version:
 
 def _extended(spark: SparkSession, table: str, now: Version | None, log: DataFrame) -> Version | None:
     parents = F.coalesce("parent_shas", F.array().cast("array<string>"))
-    rows = log.where(F.col("repo_name").isNotNull() & F.col("sha").isNotNull()).groupBy(*COMMIT).agg(F.min(parents).alias("parent_shas"))
+    rows = log.where(F.col("repo_name").isNotNull() & F.col("sha").isNotNull()).select(*COMMIT, parents.alias("parent_shas"))
+
+    def single(some: DataFrame) -> DataFrame:
+        return some.groupBy(*COMMIT).agg(F.min("parent_shas").alias("parent_shas"))
+
     late = None
     if now is None:
         now = Version(0, INDEX.json(), "repo_name")
-        known, fresh = spark.createDataFrame([], INDEX), settle(rows, "commits")
+        known, fresh = spark.createDataFrame([], INDEX), settle(single(rows), "commits")
     else:
-        rows = settle(rows, "commits")
         stored = _of(manifest.read(spark, table, now.number), rows)
-        fresh = settle(rows.join(stored.select(*COMMIT), COMMIT, "left_anti"), "new")
+        # What is stored drops out first, so that only new commits are grouped and written.
+        fresh = settle(single(rows.join(stored.select(*COMMIT), COMMIT, "left_anti")), "new")
         awaited = stored.select("repo_name", F.explode("missing").alias("sha"))
         late = settle(awaited.join(fresh.select(*COMMIT), COMMIT, "left_semi").select("repo_name").distinct(), "late")
         known = stored.join(late, "repo_name", "left_anti")
@@ -124,31 +128,34 @@ def _placed(known: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _measured(fresh: DataFrame, edges: DataFrame) -> DataFrame:
-    """Depth of each new commit and the ``tip`` of the longest line of new commits above it.
+    """Depth of each new commit and the ``tip`` (a number) of the longest line of new commits above it.
 
     By doubling: after k rounds a row knows the commit 2^k first parents below and
     the highest line within fewer than 2^k steps above.
     """
+    # Names move once; the rounds work on numbers.
+    named = settle(fresh.select(*COMMIT).withColumn("id", F.monotonically_increasing_id()), "numbered")
     first = edges.where("rank = 0").select(*COMMIT, "parent", "is_new", F.col("depth").alias("_depth"))
-    begun = fresh.select(*COMMIT).join(first, COMMIT, "left")
-    state = begun.select(
-        *COMMIT,
-        F.when(F.col("is_new"), F.col("parent")).alias("below"),
+    below = named.select("repo_name", F.col("sha").alias("parent"), F.col("id").alias("below"))
+    first = first.join(below, ["repo_name", "parent"], "left").select(*COMMIT, "is_new", "_depth", "below")
+    state = named.join(first, COMMIT, "left").select(
+        "id",
+        F.when(F.col("is_new"), F.col("below")).alias("below"),
         F.when(F.col("is_new"), F.lit(1)).otherwise(F.coalesce(F.col("_depth") + 1, F.lit(0))).cast("long").alias("depth"),
-        F.struct(F.lit(0).cast("long").alias("height"), F.col("sha").alias("tip")).alias("high"),
+        F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip")).alias("high"),
     )
     state = settle(state, "forest")
     most = fresh.count().bit_length()
     for turn in range(most + 1):
         open_rows = state.where(F.col("below").isNotNull())
         if open_rows.isEmpty():
-            return state.select(*COMMIT, "depth", F.col("high.height").alias("height"), F.col("high.tip").alias("tip"))
+            return named.join(state, "id").select(*COMMIT, "depth", F.col("high.height").alias("height"), F.col("high.tip").alias("tip"))
         higher = F.struct((F.col("high.height") + (1 << turn)).alias("height"), F.col("high.tip").alias("tip"))
-        lines = open_rows.groupBy("repo_name", F.col("below").alias("sha")).agg(F.max(higher).alias("_high"))
-        under = state.select("repo_name", F.col("sha").alias("below"), F.col("below").alias("_below"), F.col("depth").alias("_depth"))
+        lines = open_rows.groupBy(F.col("below").alias("id")).agg(F.max(higher).alias("_high"))
+        under = state.select(F.col("id").alias("below"), F.col("below").alias("_below"), F.col("depth").alias("_depth"))
         state = settle(
-            state.join(under, ["repo_name", "below"], "left").join(lines, COMMIT, "left").select(
-                *COMMIT,
+            state.join(under, "below", "left").join(lines, "id", "left").select(
+                "id",
                 F.col("_below").alias("below"),
                 (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
                 F.greatest("high", F.coalesce("_high", "high")).alias("high"),

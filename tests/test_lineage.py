@@ -126,3 +126,17 @@ def test_circles(spark, tmp_path):
     second = {"x": ["y"], "y": ["a", "x"]}  # through a second parent a page still ends
     lineage.extend(spark, table, frame(spark, second))
     assert page(spark, table, frame(spark, {"a": [], **second}), ("r", "x")) == {("r", s) for s in "axy"}
+
+
+def test_rounds_move_numbers_and_not_names(spark, tmp_path, monkeypatch):
+    """Rounds of placing write no text, and a second extension writes only what is new."""
+    kept, real = [], lineage.settle
+    monkeypatch.setattr(lineage, "settle", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    table, parents = str(tmp_path / "index"), {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(12)}
+    lineage.extend(spark, table, frame(spark, parents, [f"c{i}" for i in range(10)]))
+    assert all("string" not in f.dataType.simpleString() for name, df in kept if name == "forest" for f in df.schema)
+    monkeypatch.setattr(lineage, "settle", lambda df, name: kept.append((name, real(df, name).count())) or real(df, name))
+    kept.clear()
+    lineage.extend(spark, table, frame(spark, parents))
+    assert dict(kept)["new"] == 2 and "commits" not in dict(kept)
+    assert {c for c, _ in places(spark, table).values()} == {"c0"}
