@@ -1,18 +1,21 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from codelabels.operators import scoring
 from codelabels.operators.patches import number_files
 from codelabels.plans import jobs
+from codelabels.plans.registry import QUERIES
 from codelabels.schemas import ANALYSIS_RESULTS, COMMIT_FILES, COMMIT_PATCHES, COMMITS_LOG, CONTRIBUTIONS, STATUS_LOG, create_tables
-from codelabels.session import shared_folder
+from codelabels.session import settle, shared_folder
 from codelabels.sources import files, tables
 from codelabels.streaming.jobs import PART, PARTS, by_commit, per_batch, read_batches, stream_analysis, stream_contributions, stream_results
 
@@ -213,3 +216,50 @@ def test_classifiers_and_registry(spark, tmp_path):
         source.select("filename", *[F.lit(None).cast("string").alias(c) for c in ("author", "timestamp", "sha")]), ["K2", "K3"],
     )
     assert {r["filename"]: r["detected"] for r in table.collect()}["f"] == {"K2": 1, "K3": 1}
+
+
+def test_best_features_as_by_hand(spark):
+    """Chi-squared of every feature from its four cells; ties go to the smaller number."""
+    rng = random.Random(7)
+    rows = [([i for i in range(12) if rng.random() < (0.8 if y and i in (3, 9) else 0.3)], y) for y in [0.0, 1.0] * 60]
+    frame = spark.createDataFrame([(Vectors.sparse(14, held, [1.0] * len(held)), y) for held, y in rows], ["c", "label"])
+    slicer = scoring.BestFeatures("c", "b", 4).fit(frame)
+
+    def chi(i: int) -> float:
+        cells = [[sum((i in held) == a and (y == 1) == b for held, y in rows) for b in (True, False)] for a in (True, False)]
+        sums, cols = [sum(r) for r in cells], [sum(c) for c in zip(*cells, strict=True)]
+        if 0 in sums or 0 in cols:
+            return 0.0
+        return sum((cells[r][c] - sums[r] * cols[c] / len(rows)) ** 2 / (sums[r] * cols[c] / len(rows)) for r in range(2) for c in range(2))
+
+    assert slicer.getIndices() == sorted(sorted(range(14), key=lambda i: (-round(chi(i), 9), i))[:4])
+    assert {3, 9} <= set(slicer.getIndices())
+
+
+def test_shared_counts_are_made_once(spark, tmp_path):
+    """Fits and decisions over settled counts are those over the texts, and no text is cut for them again."""
+    rows = [(i, "alpha beta gamma" if i % 2 else "delta eps zeta", i % 2, i % 3 // 2) for i in range(30)]
+    train = spark.createDataFrame(rows, "id int, tokens string, a int, b int")
+    models = scoring.fit_each(train, {"K2": "a", "K3": "b"}, features=20, top=4)
+    alone = {n: scoring.classifier(n, features=20, top=4).fit(train.withColumn("label", F.col(c).cast("double"))) for n, c in (("K2", "a"), ("K3", "b"))}
+    for name in models:
+        assert models[name].stages[-1].coefficients.toArray() == pytest.approx(alone[name].stages[-1].coefficients.toArray(), abs=1e-6)
+    texts = train.select("id", "tokens")
+    counts = settle(scoring.featured(texts, models), "counts")
+    assert counts.columns == ["id", "shared_counts_2_20"]
+    found = scoring.classify(counts, models)
+    assert sorted(found.collect()) == sorted(scoring.classify(texts, alone).collect())
+    assert "tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
+    place = str(tmp_path / "models")
+    scoring.save_models(models, place)
+    loaded = scoring.load_models(spark, place)
+    assert scoring.same_features(models, loaded) and sorted(scoring.classify(counts, loaded).collect()) == sorted(found.collect())
+    other = scoring.fit_each(train, {"K2": "a"}, features=20, top=4, grams=1)
+    assert not scoring.same_features(models, other)
+
+
+def test_registry_cuts_windows_once(spark):
+    """However often the classifiers decide, files are cleaned and cut once, before."""
+    for name in ("u3_model_registry",):
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in text and "file_content" not in text

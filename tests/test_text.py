@@ -171,3 +171,24 @@ def test_short_classes_take_in_the_same_characters(apply):
     assert apply(token_initials, texts) == firsts
     breaks = {0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029}
     assert [len(x) for x in apply(text.split_lines, [f"a{chr(p)}b" for p in points])] == [2 if p in breaks else 1 for p in points]
+
+
+def test_tokens_by_what_lies_between(apply):
+    items = ["", " ", "a", " a  b\n", "é_1$x-y", "(a.b)c", None, "\u0661a", "--"]
+    assert apply(text.token_words, items) == apply(lambda c: text.join_words(text.tokenize(c)), items)
+
+
+def test_lines_normalised_as_one_text(spark):
+    """A file's lines together give what each gives alone, whatever ends or breaks them."""
+    bits = ["a", "true", "FALSE", "-2.5e3", "0x1F", "7", "'", '"', '"""', " ", "\t", "\r", "\x85", "\x0b", "\u2028", "{", "}", "\u0301", "é"]
+    rng = random.Random(11)
+    texts = ["\n".join("".join(rng.choice(bits[: rng.choice((10, 12, 19))]) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(6))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "x\r\ny\r\n", None]], "c string").select(text.significant_lines(F.col("c")).alias("l"))
+    found = rows.select(F.transform("l", text.normalise).alias("alone"), text.normalise_lines(F.col("l")).alias("whole")).collect()
+    assert all(r["alone"] == r["whole"] for r in found)
+
+
+def test_lines_are_bound_once(spark):
+    """The clean-up before is one expression of the plan, however often its lines are looked at."""
+    frame = spark.createDataFrame([("x",)], "c string").select(text.normalise_lines(text.significant_lines(text.clean(F.col("c")))).alias("l"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("import ") == 1
