@@ -260,6 +260,6 @@ def test_shared_counts_are_made_once(spark, tmp_path):
 
 def test_registry_cuts_windows_once(spark):
     """However often the classifiers decide, files are cleaned and cut once, before."""
-    for name in ("u3_model_registry",):
+    for name in ("u1_per_label_classifier", "u3_model_registry"):
         text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp" not in text and "file_content" not in text
