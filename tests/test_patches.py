@@ -139,3 +139,30 @@ def test_acceptance_is_judged_once(spark):
 
     text = QUERIES["f9_line_acceptance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Contains(cleaned") == 1
+
+
+def test_hunks_begin_at_line_starts_only(spark):
+    """Patches with and without a head, marks inside lines, hunks in a row and starts that cannot be read."""
+    cases = {
+        "@@ -1 +5 @@\n+a\n x @@ y\n+a\n@@ -9 +20 @@ f\n-a\n+a": [5, 7, 20],
+        "head @@ -1 +5 @@\n+a": [],
+        "head\n@@\n@@ -1 +3 @@\n+a\n": [3],
+        "@@@@ -1 +4 @@\n+a\n@@ none\n+a": [4, None],
+        "": [],
+        "+a": [],
+    }
+    rows = spark.createDataFrame([(p, "a") for p in cases], "patch string, cleaned string")
+    found = {r["patch"]: r["n"] for r in rows.select("patch", patches.changed_lines(F.col("patch"), F.col("cleaned")).alias("n")).collect()}
+    assert found == cases
+    lines = spark.createDataFrame([("x\n@@+a\n+b\n@@ c",)], "patch string").select(patches.hunk_lines(F.col("patch")).alias("l")).first()["l"]
+    assert [x for x in lines if x] == ["@@+a", "+b", "@@ c"]
+
+
+def test_paths_are_made_once(spark, monkeypatch):
+    """A temporary path is made once, not again in a filter pushed below."""
+    seen = []
+    monkeypatch.setattr(patches, "settle", lambda df, purpose: seen.append(df) or df)
+    commits = spark.createDataFrame([("r", "s")], "repo_name string, sha string")
+    diffs = spark.createDataFrame([("r", "s", "a/B.java", "a/B.java", "")], "repo_name string, sha string, a_path string, b_path string, patch string")
+    patches.wanted_files(commits, diffs)
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
