@@ -89,3 +89,17 @@ def test_stored_contributions_are_the_extracted_ones(spark, tmp_path, monkeypatc
     key = lambda df: sorted((r["seq"], r["repo_name"], r["sha"], r["temp_filepath"], r["changed_lines"]) for r in df.collect())
     stored = key(spark.read.parquet(place))
     assert len(stored) == 120 and [r[1:] for r in stored] == [r[1:] for r in key(jobs.extract_contributions(*frames, base="/t"))]
+
+
+def test_laid_out_tables_and_stream_batches_move_no_text_to_be_written(spark, tmp_path, monkeypatch):
+    """The stream's tables are written where their rows are made, and batches go by the rule of any extraction."""
+    from codelabels.plans.registry import QUERIES
+
+    hints, save = [], tables.save_table
+    monkeypatch.setattr(tables, "FILE_ROWS", 0)
+    monkeypatch.setattr(tables, "save_table", lambda *a, **k: hints.append((k["partition"], k.get("rebalance", True))) or save(*a, **k))
+    found = QUERIES["p4_extract_streaming"](spark, "/root/testdata/sf0.001")
+    assert hints[:2] == [("sha_part", False)] * 2 and set(hints[2:]) == {("repo_name", False)}
+    whole = QUERIES["s7_append_contributions"](spark, "/root/testdata/sf0.001")
+    columns = ["repo_name", "sha", "temp_filepath", "file_content", "changed_lines"]
+    assert sorted(found.select(columns).collect()) == sorted(whole.select(columns).collect())
