@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from codelabels.operators import results
+from codelabels.plans import jobs
 from codelabels.sources import files
 
 PLACES = [
@@ -62,3 +64,27 @@ def test_folders_are_spread(spark, tmp_path):
     assert above == {str(i) for i in range(5)}
     read = files.read_directory(spark, f"{tmp_path}/made/*/n=*", "txt", folders=1).collect()
     assert sorted((r["filename"].split("/")[0], r["file_content"]) for r in read) == sorted((f"n={n}", f"{body}\n") for n, body in rows)
+
+
+def test_wide_labels_look_once(spark):
+    """All values come from one array; a column with an error of its own per label makes code too long to compile."""
+    labels = [f"K{i}" for i in range(70)]
+    row = ("f", "a", None, "s", {x: i % 3 for i, x in enumerate(labels)})
+    frame = spark.createDataFrame([row], "filename string, author string, timestamp timestamp_ntz, sha string, detected map<string,int>")
+    wide = results.wide_labels(frame, labels)
+    assert [wide.first()[x] for x in labels] == [int(i % 3 != 0) for i in range(70)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("raise_error") <= 1
+    for maps in ({"K1": 1}, None):
+        with pytest.raises(Exception, match="label K0 is missing from a result"):
+            results.wide_labels(frame.withColumn("detected", F.lit(None).cast("map<string,int>") if maps is None else F.map_filter("detected", lambda k, v: k == "K1")), labels).collect()
+
+
+def test_label_table_by_hand(spark):
+    """More labels than a number has bits, models that are not asked for, missing verdicts."""
+    labels = [f"K{i}" for i in range(130)]
+    rows = [("f", f"K{i}", i % 5 == 0 if i % 7 else None) for i in range(0, 140, 2)] + [("f", "K4", True), ("g", "other", True), ("g", None, True)]
+    per_model = spark.createDataFrame(rows, "filename string, model string, detected boolean")
+    source = spark.createDataFrame([("f", "a", None, "s"), ("g", "b", None, "t")], "filename string, author string, timestamp timestamp_ntz, sha string")
+    found = {r["filename"]: r["detected"] for r in jobs.label_table(per_model, source, labels).collect()}
+    hits = {m for f, m, d in rows if f == "f" and d}
+    assert found["f"] == {x: int(x in hits) for x in labels} and found["g"] == dict.fromkeys(labels, 0)
